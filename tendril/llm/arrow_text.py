@@ -18,6 +18,12 @@ LOWER_WORDS[0x41:0x5B] = np.arange(0x61, 0x7B)
 LOWER_WORDS[0x80:] = np.arange(0x80, 0x100)
 LOWER_WORDS_TABLE = LOWER_WORDS.tobytes()
 
+#: Words parted by ASCII white space, all other bytes as they are, and with A-Z lower-cased.
+SPACED = np.arange(256, dtype=np.uint8)
+SPACED[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
+LOWER_SPACED = SPACED.copy()
+LOWER_SPACED[0x41:0x5B] += 0x20
+
 BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -69,9 +75,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def range_sums(values: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Prefix sums P of values[i] * base**i, so that a slice's polynomial hash is (P[e] - P[s]) * base**-s."""
+    """Prefix sums P of (values[i] + 1) * base**i, so that a slice's polynomial hash is (P[e] - P[s]) * base**-s."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * powers(base, len(values)), out=out[1:])
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, len(values)), out=out[1:])
     return out
 
 
@@ -79,6 +85,13 @@ def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     return mix((prefix[ends] - prefix[starts]) * powers(inverse(base), len(prefix))[starts])
 
 
+def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n neighbouring values."""
+    prefix = range_sums(hashes)
+    s = np.arange(max(0, len(hashes) - n + 1))
+    return slice_hash(prefix, s, s + n)
+
+
 def word_bounds(norm: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and text numbers of the words of normalised bytes, in which 0x20 parts words."""
     inside = np.zeros(len(norm) + 2, bool)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_text import LOWER_WORDS, LOWER_WORDS_TABLE, blocks, inverse, mix, powers, range_sums, slice_hash, word_bounds
+from .arrow_text import LOWER_WORDS, LOWER_WORDS_TABLE, blocks, range_sums, run_hash, slice_hash, word_bounds
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -50,17 +50,10 @@ def windows(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", t
     return known.mapInArrow(cut, "window binary, n int, item string").distinct()
 
 
-def _hash_words(word_hash: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of n words."""
-    prefix = range_sums(word_hash)
-    s = np.arange(len(word_hash) - n + 1)
-    return slice_hash(prefix, s, s + n)
-
-
 def _string_hash(window: bytes) -> int:
     norm = np.frombuffer(window, np.uint8)
     s, e, _ = word_bounds(norm, np.array([0, len(norm)]))
-    return int(_hash_words(slice_hash(range_sums(norm), s, e), len(s))[0])
+    return int(run_hash(slice_hash(range_sums(norm), s, e), len(s))[0])
 
 
 class WindowSet:
@@ -90,7 +83,7 @@ def _occurrences(found: WindowSet, maps: dict[int, np.ndarray], norm: np.ndarray
     for n, known in found.hashes.items():
         if len(starts) < n:
             continue
-        h = _hash_words(word_hash, n)
+        h = run_hash(word_hash, n)
         at = np.flatnonzero(maps[n][(h >> np.uint64(64 - _BITS)).astype(np.int64)] & (texts[: len(h)] == texts[n - 1 :]))
         near = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
         for s in at[known[near] == h[at]].tolist():
@@ -207,5 +200,3 @@ def report(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         (F.size("hits") > 0).alias("contaminated"),
     )
 
-
-__all__ = ["MAX_WINDOWS", "WINDOW", "WindowSet", "inverse", "mix", "n_hit", "powers", "remove", "report", "scan", "windows"]
