@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, licenses, line_dedup, lm, quality, simhash, substrings
+from . import bpe, decontaminate, langid, licenses, line_dedup, lm, quality, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.report(pages, warc.damaged_replica(pages))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -57,10 +62,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_warc_fixity": op6_warc_fixity,
     "op7_simhash": op7_simhash,
     "op8_langid": op8_langid,
     "op9_substrings": op9_substrings,
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op6_warc_fixity": warc.ORACLE}
