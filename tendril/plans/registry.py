@@ -2,7 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
 FLAGSHIP = "second_filter"
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with the SQL that gives the same rows."""
+
+    def put(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return run
+
+    return put
+
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import label_queries, relational_queries, retrieval_queries, text_queries  # noqa: E402,F401
