@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,11 +140,10 @@ def refine(chunks: DataFrame, keys: list[str], text: str = "content", patterns:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [parts(t or "") for t in b.pop("_body")]
-            out = b.loc[b.index.repeat([len(p) for _, p in found])].copy()
-            out["part_no"] = [k for _, p in found for k in range(len(p))]
-            out["top_bullet"] = [n for n, p in found for _ in p]
-            out["content"] = [t for _, p in found for t in p]
-            yield out
+            own = np.repeat(np.arange(len(b)), [len(p) for _, p in found])
+            if len(own):
+                parted = {"part_no": [k for _, p in found for k in range(len(p))], "top_bullet": [n for n, p in found for _ in p], "content": [t for _, p in found for t in p]}
+                yield pd.DataFrame({c: b[c].to_numpy(object)[own] for c in b} | {c: np.array(x, object) for c, x in parted.items()})
 
     rows = chunks.select(*keys, F.col(text).alias("_body"))
     return rows.mapInPandas(run, rows.drop("_body").schema.simpleString()[7:-1].replace(":", " ") + ", part_no int, top_bullet string, content string")

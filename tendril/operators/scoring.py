@@ -31,7 +31,7 @@ def soft_score(criteria: DataFrame, by: list[str]) -> DataFrame:
     """(by, soft_score): earned points as a whole percentage of the maximum, half to even, 100 at most, 0 without a maximum."""
     most = F.sum("max_score")
     share = F.bround(F.round(F.sum("earned") / F.nullif(most, F.lit(0.0)) * 100, 6)).cast("int")
-    return criteria.groupBy(*by).agg(F.coalesce(F.least(share, F.lit(100)), F.lit(0)).alias("soft_score"))
+    return criteria.groupBy(*by).agg(F.least(F.coalesce(share, F.lit(0)), F.lit(100)).alias("soft_score"))
 
 
 def rubric_text(chunks: DataFrame, template: str | None = None, patterns: Rubric | None = None) -> DataFrame:
@@ -75,8 +75,8 @@ def with_note(weaknesses: Column, note: Column) -> Column:
     return F.when((F.size(weaknesses) == 0) & note.isNotNull(), F.array(note)).otherwise(weaknesses)
 
 
-def partner_route(weaknesses: DataFrame, partners: DataFrame) -> DataFrame:
-    """(company_id, n_weak, partner_id, route): mail if the chosen partner has an address, else search.
+def partner_route(weaknesses: DataFrame, partners: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, company_id, n_weak, partner_id, route): mail if the chosen partner has an address, else search.
 
     weaknesses: (company_id, reasons array, choice int, from 0); partners: (company_id, partner_id, email). The first
     three reasons count, then blanks are dropped; without any the route is search.
@@ -85,7 +85,7 @@ def partner_route(weaknesses: DataFrame, partners: DataFrame) -> DataFrame:
     own = weaknesses.withColumn("n_weak", F.size(F.filter(F.slice("reasons", 1, 3), lambda r: F.trim(r) != "")))
     both = own.join(listed, ["company_id", "choice"], "left")
     mail = (F.col("n_weak") > 0) & F.coalesce(F.col("email") != "", F.lit(False))
-    return both.select("company_id", "n_weak", F.when(mail, F.col("partner_id")).alias("partner_id"), F.when(mail, "email").otherwise("search").alias("route"))
+    return both.select(*keep, "company_id", "n_weak", F.when(mail, F.col("partner_id")).alias("partner_id"), F.when(mail, "email").otherwise("search").alias("route"))
 
 
 def concat_chunks(chunks: DataFrame, by: list[str], separator: str = "\n\n") -> DataFrame:

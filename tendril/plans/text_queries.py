@@ -1 +1,188 @@
+"""Scalar functions, chunking and the streaming work queue."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import providers
+from ..functions import text as X
+from ..functions.chunk_values import INVENTORY
+from ..functions.storage import shared_dir
+from ..operators import chunking, fusion, scoring
+from ..streaming import feeds
+from . import domain
+from .domain import table, tok, with_
+from .registry import query
+from .retrieval_queries import _ALL, _BOTH, _SUMMED, _ranked, _sql
+
+_TERMS = ("the", "tion", "le", "und", "zz-none")
+_LIST = "['the', 'tion', 'le', 'und', 'zz-none']"
+
+
+@query("normalize_text", "SELECT page_id, lower(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[\\s\\x{00A0}\\x{0085}\\x{2028}\\x{2029}]+', ' ', 'g'))) AS content FROM pages")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.normalize(F.col("html")).alias("content"))
+
+
+@query("compose_text", "SELECT s_suppkey, concat_ws(chr(10), CASE WHEN s_name <> '' THEN 'name: ' || s_name END, CASE WHEN s_nationkey % 2 = 0 THEN 'nation: ' || s_nationkey END) AS content FROM supplier")
+def compose_text(spark, sf_dir):
+    nation = F.when(F.col("s_nationkey") % 2 == 0, F.col("s_nationkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", X.compose([("name", F.col("s_name")), ("nation", nation)]).alias("content"))
+
+
+@query("keyword_match", f"SELECT doc_id, array_to_string(list_filter({_LIST}, lambda t: contains(lower(text), t)), ',') AS matched FROM documents")
+def keyword_match(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.matches(F.lower("text"), _TERMS), ",").alias("matched"))
+
+
+@query("preview", "SELECT doc_id, nullif(substr(text, 1, 120), '') AS preview, coalesce(nullif(substr(lang, 1, 1), 'e'), '-') AS short FROM documents")
+def preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text"), 120).alias("preview"), F.coalesce(F.nullif(F.substring("lang", 1, 1), F.lit("e")), F.lit("-")).alias("short"))
+
+
+@query("file_priority", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 99 END AS priority FROM part")
+def file_priority(spark, sf_dir):
+    ends = F.element_at(F.array(F.lit(".a.HWPX"), F.lit(".pdf"), F.lit(".pdf.hwp"), F.lit("")), F.col("p_size") % 4 + 1)
+    return table(spark, sf_dir, "part").select("p_partkey", X.file_priority(F.concat("p_name", ends)).alias("priority"))
+
+
+@query("parse_values", "SELECT doc_id, try_cast(CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN n_chars::VARCHAR ELSE lang END AS BIGINT) AS budget, try_strptime(CASE doc_id % 2 WHEN 0 THEN '2024-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || ' 10:00:00' ELSE 'soon' END, '%Y-%m-%d %H:%M:%S') AS deadline FROM documents")
+def parse_values(spark, sf_dir):
+    i = F.col("doc_id")
+    number = F.when(i % 3 == 0, "").when(i % 3 == 1, F.col("n_chars").cast("string")).otherwise(F.col("lang"))
+    when = F.when(i % 2 == 0, F.concat(F.lit("2024-02-"), F.lpad((i % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00"))).otherwise("soon")
+    return table(spark, sf_dir, "documents").select("doc_id", X.parse_long(number).alias("budget"), X.parse_time(when).alias("deadline"))
+
+
+@query("ordered_dedupe", "SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ' ') AS words FROM (SELECT doc_id, " + tok("substr(text, 1, 200)") + " AS w FROM documents)")
+def ordered_dedupe(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(X.tokens(F.substring("text", 1, 200))), " ").alias("words"))
+
+
+@query("token_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def token_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("concat_by_topic", with_("chunks") + "SELECT notice_id, l_topic, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS body_sha256, count(*) AS n_chunks FROM chunks GROUP BY 1, 2")
+def concat_by_topic(spark, sf_dir):
+    chunks = domain.chunks(spark, sf_dir)
+    counts = chunks.groupBy("notice_id", "l_topic").agg(F.count("*").alias("n_chunks"))
+    return scoring.concat_chunks(chunks, ["notice_id", "l_topic"]).join(counts, ["notice_id", "l_topic"]).select("notice_id", "l_topic", F.sha2("body", 256).alias("body_sha256"), "n_chunks")
+
+
+@query("notice_body", with_("chunks") + "SELECT notice_id, nullif(substr(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 1, 6000), '') AS body FROM chunks GROUP BY 1")
+def notice_body(spark, sf_dir):
+    return scoring.notice_body(domain.chunks(spark, sf_dir))
+
+
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents), big AS (SELECT *, trim(line) AS t, NOT (length(trim(line)) < 200 AND NOT contains(line, '<table>')) AS big FROM lines), ats AS (SELECT *, sum(big::INT) OVER w - big::INT AS pos, sum(big::INT) OVER (PARTITION BY doc_id) AS n FROM big WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)), placed AS (SELECT *, pos = n AS tail, least(pos, n - 1) AS place FROM ats WHERE n > 0)"
+
+
+@query("merge_tiny", "WITH " + _LINES + " SELECT doc_id, place::BIGINT AS chunk_no, coalesce(string_agg(t, chr(10) ORDER BY chunk_no) FILTER (NOT big AND NOT tail) || chr(10) || chr(10), '') || max(t) FILTER (big) || coalesce(chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY chunk_no) FILTER (NOT big AND tail), '') AS content FROM placed GROUP BY 1, 2")
+def merge_tiny(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("l_topic"), F.lit("").alias("s_topic"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_no", "content"))
+    return chunking.merge_tiny(lines, least=200).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "content")
+
+
+@query("token_windows", "WITH toks AS (SELECT doc_id, " + tok("text") + " AS w FROM documents), cut AS (SELECT doc_id, w, unnest(CASE WHEN len(w) <= 300 THEN [0] ELSE range(0, len(w), 260) END) AS first_token FROM toks) SELECT doc_id, (CASE WHEN len(w) <= 300 THEN 0 ELSE first_token // 260 + 1 END)::INT AS part_no, first_token::INT AS first_token, len(w[first_token + 1:first_token + 300])::INT AS token_count, md5(array_to_string(w[first_token + 1:first_token + 300], ' ')) AS digest FROM cut")
+def token_windows(spark, sf_dir):
+    found = chunking.token_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), X.tokens(F.col("text")), 300, 40)
+    return found.select("doc_id", "part_no", "first_token", F.size("window").alias("token_count"), F.md5(F.array_join("window", " ")).alias("digest"))
+
+
+@query("chunk_index", with_("chunks") + "SELECT notice_id, chunk_id, chunk_index FROM chunks")
+def chunk_index(spark, sf_dir):
+    return domain.chunks(spark, sf_dir).select("notice_id", "chunk_id", "chunk_index")
+
+
+@query("chunk_status", "SELECT d.doc_id, count(line) AS n_chunks, CASE WHEN count(line) = 0 THEN 'ERROR' ELSE 'CHUNKED' END AS parse_status FROM documents d LEFT JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l ON d.doc_id = l.doc_id AND length(line) >= 200 GROUP BY 1")
+def chunk_status(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 200)
+    return chunking.chunk_status(docs, lines)
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a header, a pipe table and bullets made of their own words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.split(F.substring("text", 1, 600), "\\s+").alias("w"))
+    word = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit("x"))
+    lines = [F.concat(F.lit("# 1. "), word(0)), F.concat(F.lit("| a | "), word(1), F.lit(" |")), F.lit("| --- | --- |"), F.concat(F.lit("| "), word(2), F.lit(" | 2 |")), F.lit(""), F.concat(F.lit("1. "), word(3)), F.concat_ws(" ", F.slice("w", 5, 40)), F.concat(F.lit("# 2. "), word(4)), F.concat_ws(" ", F.slice("w", 45, 40))]
+    return docs.select("doc_id", "source", F.concat_ws("\n", *lines).alias("content"), F.array(word(0), word(4)).alias("heads"))
+
+
+@query("md_tables")
+def md_tables(spark, sf_dir):
+    return chunking.md_tables(_markdown(spark, sf_dir), strict=True).select("doc_id", "content")
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = chunking.md_tables(_markdown(spark, sf_dir))
+    heads = docs.select("doc_id", F.posexplode("heads").alias("ord", "h")).select("doc_id", "ord", F.concat(F.lit("# "), "h").alias("exact_header"), F.concat(F.lit("L"), "ord").alias("l_topic"), F.col("h").alias("s_topic"))
+    return chunking.slice_headers(docs, heads)
+
+
+@query("slice_headers")
+def slice_headers(spark, sf_dir):
+    return _sliced(spark, sf_dir)
+
+
+@query("refine_chunks")
+def refine_chunks(spark, sf_dir):
+    return chunking.refine(_sliced(spark, sf_dir), ["doc_id", "chunk_no", "l_topic", "s_topic"])
+
+
+@query("bullet_inventory", "SELECT doc_id, '-' AS bullets FROM documents")
+def bullet_inventory(spark, sf_dir):
+    found = X.bullets(F.concat(F.lit("  - "), F.substring("text", 1, 50)), INVENTORY)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("bullets"))
+
+
+@query("embed_chunks")
+def embed_chunks(spark, sf_dir):
+    rows = domain.chunks(spark, sf_dir).select("chunk_id", "content", "embedding")
+    return providers.embed(rows, providers.HashProvider(64)).select("chunk_id", F.size("embedding").alias("dimensions"))
+
+
+@query("criterion_prompt", with_("chunks", first="SELECT notice_id, chunk_id, content, row_number() OVER (PARTITION BY notice_id ORDER BY chunk_id) AS rank FROM chunks") + "SELECT f.notice_id AS criterion_id, '[criterion]' || chr(10) || 'name=' || f.notice_id || chr(10) || 'description=d' || chr(10) || 'max_score=10' || chr(10) || chr(10) || '[chunks]' || chr(10) || string_agg('- chunk_id=' || chunk_id || ': ' || content, chr(10) ORDER BY rank) || chr(10) || chr(10) || '[projects]' || chr(10) || any_value(p.lines) AS prompt FROM first f, (SELECT string_agg('- project_id=' || item_id || ' title=' || text, chr(10) ORDER BY item_id) AS lines FROM benchmark WHERE item_id < 3) p WHERE rank <= 5 GROUP BY 1")
+def criterion_prompt(spark, sf_dir):
+    order = Window.partitionBy("notice_id").orderBy("chunk_id")
+    ranked = domain.chunks(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(F.col("notice_id").alias("criterion_id"), "chunk_id", "rank", "content")
+    criteria = ranked.select("criterion_id").distinct().select("criterion_id", F.lit(1).alias("company_id"), F.col("criterion_id").alias("name"), F.lit("d").alias("description"), F.lit("10").alias("max_score"))
+    projects = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.lit(1).alias("company_id"), F.col("item_id").alias("project_id"), F.col("text").alias("title"))
+    return scoring.criterion_prompt(criteria, ranked, projects)
+
+
+@query("search_end_to_end", _sql(f"SELECT notice_id, budget_krw, aggregate_score, n_chunks FROM ({_SUMMED}) JOIN (SELECT 'src' || o_orderkey AS notice_id, floor(o_totalprice)::BIGINT AS budget_krw FROM orders WHERE o_orderkey < 20 AND floor(o_totalprice) >= 50000) USING (notice_id)", _ALL, _ranked(_BOTH)))
+def search_end_to_end(spark, sf_dir):
+    """Hard filter, second filter, and both joined: documents' sources are the notices, filtered by their first order."""
+    from ..operators.relational import HardFilter, hard_filter
+
+    notices = domain.notices(spark, sf_dir).where("notice_id < 20").withColumn("notice_id", F.concat(F.lit("src"), F.col("notice_id").cast("string")))
+    kept = hard_filter(notices, HardFilter(budget_min=50_000))
+    found = fusion.second_filter(kept.select("notice_id"), domain.chunks(spark, sf_dir), fusion.dedupe_targets(domain.targets(spark, sf_dir)), topics=domain.TOPICS)
+    return kept.join(found, "notice_id").select("notice_id", "budget_krw", "aggregate_score", "n_chunks")
+
+
+@query("ingest_stream")
+def ingest_stream(spark, sf_dir):
+    """Documents as a landing folder: each batch is cut into windows and appended once."""
+    base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "documents").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+
+    def step(batch: DataFrame) -> DataFrame:
+        found = chunking.token_windows(batch.select("doc_id", "text"), X.tokens(F.col("text")))
+        return found.select("doc_id", "part_no", F.size("window").alias("token_count"))
+
+    feeds.work(source, step, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id long, part_no int, token_count int").parquet(f"{base}/out")
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    found = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return found.select(F.col("w.start").alias("start"), "event_type", "n", "total")
