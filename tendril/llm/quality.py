@@ -2,8 +2,8 @@
 
 A reference per language holds two histograms over all its documents: characters by class, and the language's
 ``common`` most frequent words with one bin for all other words. A document is compared with every reference by the
-Jensen-Shannon distance (base 2, 0 to 1), for characters and for words apart, and its divergence is the least over the
-references. Each comparison has a minimum length below which it does not judge: histograms of a few words are noise.
+Jensen-Shannon distance (base 2), for characters and for words apart, and its divergence is the least over the
+references. The distance of words is told as a share of that of a text without any common word (``word_js`` is 1 there). Each comparison has a minimum length below which it does not judge: histograms of a few words are noise.
 
 kept is false for a document that fails a base rule (fewer than ``min_words`` words, or more than ``max_repeat`` percent
 of its words in repeated windows of five), or that diverges beyond ``max_char`` or ``max_word``.
@@ -28,8 +28,9 @@ from .arrow_text import LOWER_SPACED, SPACED, blocks, mix, range_sums, run_hash,
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 COMMON, MAX_LANGUAGES = 50, 64
 #: (least length, most distance) for characters and for words.
-MIN_CHARS, MAX_CHAR = 150, 0.30
-MIN_HIST_WORDS, MAX_WORD = 50, 0.47
+MIN_CHARS, MAX_CHAR = 300, 0.30
+#: Words: the distance is taken as a share of that of a text without any common word.
+MIN_HIST_WORDS, MAX_WORD = 80, 0.95
 #: Distinct words that a task counts before it hands the counts on.
 FLUSH = 200_000
 
@@ -102,6 +103,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
         x["shares"] = np.array([*x.pop("n"), 0.0])
         x["shares"][-1] = x.pop("total") - x["shares"].sum()
         x["shares"] = x["shares"] / max(1, x["shares"].sum())
+        x["bare"] = float(jensen_shannon(np.eye(len(x["shares"]))[-1:], x["shares"])[0])
     return {k: x for k, x in found.items() if x["words"]}
 
 
@@ -147,7 +149,8 @@ def _measure(data: np.ndarray, off: np.ndarray, refs: dict, known: np.ndarray) -
         dist = []
         for x in refs.values():
             own = bins[:, x["at"]]
-            dist.append(jensen_shannon(np.concatenate([own, out["n_words"][:, None] - own.sum(1, keepdims=True)], 1), x["shares"]))
+            d = jensen_shannon(np.concatenate([own, out["n_words"][:, None] - own.sum(1, keepdims=True)], 1), x["shares"])
+            dist.append(d / max(1e-9, x["bare"]))
         out["word_js"] = np.min(dist, axis=0)
     return out
 
