@@ -200,3 +200,25 @@ def report(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         (F.size("hits") > 0).alias("contaminated"),
     )
 
+
+
+_WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH docs AS (
+  SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents
+), items AS (
+  SELECT item_id, ws, least({WINDOW}, len(ws)) AS n FROM (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s FROM items)
+), places AS (
+  SELECT doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n)
+), hits AS (
+  SELECT doc_id, n, s, item_id FROM places JOIN windows USING (n, said)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1
+), named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY 1
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

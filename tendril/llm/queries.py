@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op6_warc_fixity": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op6_warc_fixity": warc.ORACLE}

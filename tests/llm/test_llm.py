@@ -85,6 +85,10 @@ def test_decontaminate(spark, docs, most):
     assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == want
 
 
+def test_decontaminate_sql(spark):
+    same(duck(SF), queries.QUERIES["op1_decontaminate"](spark, SF), queries.ORACLE_SQL["op1_decontaminate"])
+
+
 def test_decontaminate_removal(spark, docs, empty):
     bench = spark.createDataFrame([(1, "bad words")], "item_id long, text string")
     df = spark.createDataFrame([(1, "Keep this, bad WORDS! and that"), (2, "clean")], "doc_id long, text string")
