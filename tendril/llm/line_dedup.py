@@ -61,7 +61,8 @@ def marked(docs: DataFrame, doc: str = "doc_id", text: str = "text", every: int
     looked = F.filter(chunks(body, every), lambda c: _eligible(c, min_lines))
 
     hashes = packed.select("id", "t", F.explode(F.transform(looked, lambda c: F.struct(c["no"].alias("no"), F.xxhash64(c["lines"]).alias("h")))).alias("c")).select("id", "t", "c.no", "c.h")
-    often = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written, so that the join below shuffles two tables and Spark can split a hot chunk's rows.
+    often = materialize(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     met = hashes.join(often, "h").groupBy("id", "t").agg(F.collect_set("no").alias("met"))
 
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["t"] == b["t"])
@@ -69,7 +70,8 @@ def marked(docs: DataFrame, doc: str = "doc_id", text: str = "text", every: int
     found = F.filter(chunks(F.col("body"), every), lambda c: F.array_contains("met", c["no"]))
     texts = fetched.select("id", "t", F.explode(F.transform(found, lambda c: F.struct(c["no"].alias("no"), F.array_join(c["lines"], "\n").alias("text")))).alias("c"))
     texts = materialize(texts.select("id", "t", "c.no", "c.text", F.xxhash64("c.text").alias("h")), "chunks")
-    first = texts.groupBy("h", "text").agg(F.min(F.struct("id", "t", "no")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = texts.groupBy("h", "text").agg(F.min(F.struct("id", "t", "no")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "text", "first")
+    first = materialize(first, "firsts")  # as above
     later = texts.join(first, ["h", "text"]).where(~F.struct("id", "t", "no").eqNullSafe(F.col("first")))
     gone = later.groupBy("id", "t").agg(F.collect_set("no").alias("gone"))
     out = packed.alias("p").join(gone.alias("g"), same(packed, gone), "left")

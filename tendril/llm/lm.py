@@ -37,7 +37,7 @@ SLOTS = WORD_SLOTS + SUFFIX_SLOTS
 FREQUENT = 200_000
 ROUNDS, NOISE, BATCH, RATE = 2, 32, 4096, 0.1
 #: Distinct words that a task counts, or remembers the slots of, before it starts anew.
-FLUSH = 300_000
+FLUSH = 200_000
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _END = b""  # not a word
 
@@ -128,8 +128,9 @@ def lexicon(counts: DataFrame, frequent: int = FREQUENT) -> Lexicon:
         least = r.c
     else:
         least = 1
-    rows = counts.where(F.col("c") >= least).collect() if levels and (have <= frequent or least > 1) else []
-    return Lexicon([(bytes(r.word), r.c) for r in rows], {r.k: (r.n, r.v) for r in by_suffix}, sums.n or 0, sums.v)
+    rows = counts.where(F.col("c") >= least).select("word", "c").toArrow() if levels and (have <= frequent or least > 1) else None
+    words = list(zip(*(rows.column(k).to_pylist() for k in ("word", "c")), strict=True)) if rows is not None else []
+    return Lexicon(words, {r.k: (r.n, r.v) for r in by_suffix}, sums.n or 0, sums.v)
 
 
 def initial(lex: Lexicon) -> dict[str, np.ndarray]:

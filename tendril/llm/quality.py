@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from .arrow_text import LOWER_SPACED, SPACED, blocks, mix, range_sums, run_hash, slice_hash, word_bounds
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
@@ -85,7 +86,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
 
     What reaches the driver is bounded: ``max_languages`` times ``common`` words and a few counts.
     """
-    counts = language_counts(docs, text, lang)
+    counts = materialize(language_counts(docs, text, lang), "language-counts")
     total = counts.groupBy("lang").pivot("kind", ["char", "word"]).agg(F.sum("n")).select("lang", F.col("word").alias("total"))
     by_rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "bin")
     top = counts.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= F.greatest(F.lit(common), F.lit(N_CLASSES)))

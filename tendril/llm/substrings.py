@@ -103,7 +103,7 @@ def _sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | np.roll(text, -k).astype(np.uint64)
     done = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, np.int64)
         new[0] = 0
         new[1:] = key[order[1:]] != key[order[:-1]]
@@ -188,7 +188,9 @@ def covered(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     """(t1, t2, start, end): spans of bytes to remove of each text; they may overlap."""
     runs = _described(texts, length)
     often = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
-    met = materialize(_described(texts, length).join(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "runs")
+    # Written, so that the join below shuffles two tables and Spark can split a hot anchor's rows.
+    often = materialize(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    met = materialize(_described(texts, length).join(often, "anchor"), "runs")
     spans = lambda df: df.select("t1", "t2", "start", (F.col("start") + F.col("size")).alias("end"))
 
     mixed = met.where("mixed")
