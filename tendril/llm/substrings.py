@@ -118,19 +118,20 @@ def _sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
 def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
     """Whether the ``length`` bytes from each place on occur in the (circular) text more than once."""
     n = len(text)
+    number = np.int32 if n < 1 << 22 else np.int64  # rows times 256 must fit
     order = _sorted_rotations(text, length + 1)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, number)
+    place[order] = np.arange(n, dtype=number)
     before = order - 1  # -1 is the last place
     back = place[before]  # the row of the rotation that starts one byte earlier
-    transform = text[before].astype(np.int64)
+    transform = text[before].astype(number)
     border = np.zeros(n + 1, bool)  # whether row i is known to share less than ``length`` bytes with row i - 1
     border[[0, n]] = True
-    low, size = np.array([0]), np.array([n])
+    low, size = np.array([0], number), np.array([n], number)
     for _ in range(length):
         # One step extends every interval of the level by each byte that stands before its rows.
-        own = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        own = np.repeat(np.arange(len(low), dtype=number), size)
+        rows = np.arange(len(own), dtype=number) + np.repeat(low + size - np.cumsum(size, dtype=number), size)
         to = back[rows]
         by = np.argsort(to)
         to, kind = to[by], (own * 256 + transform[rows])[by]
@@ -139,7 +140,7 @@ def repeated_starts(text: np.ndarray, length: int) -> np.ndarray:
         at = np.flatnonzero(first)
         ends = np.append(at[1:], len(to))
         new = ~border[to[ends - 1] + 1]
-        low, size = to[at[new]], (ends - at)[new]
+        low, size = to[at[new]], (ends - at)[new].astype(number)
         border[low + size] = True
         if not len(low):
             break
@@ -201,7 +202,8 @@ def covered(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1")
     wanted = kinds.join(open_, "anchor").select("one.t1", "one.t2", F.struct("anchor", "whole", (F.col("n") == 1).alias("once"), (F.col("different") > hot).alias("hot"), "one.start", "one.size").alias("x"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("x").alias("asked"))
-    source = texts.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "asked")
+    # Copies of a text are one here, so that no fragment is cut twice and its bytes are shuffled once.
+    source = texts.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "asked")
     cut_schema = "anchor long, whole long, once boolean, hot boolean, t1 long, t2 long, start int, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +213,7 @@ def covered(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
             columns = zip(*rows, strict=True) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in cut_schema.split(", ")])
 
-    fragments = materialize(source.mapInArrow(cut, cut_schema).dropDuplicates(["anchor", "whole"]), "bytes")
+    fragments = materialize(source.mapInArrow(cut, cut_schema), "bytes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
