@@ -142,15 +142,17 @@ def scan_text(raw: bytes, machine: ahocorasick.Automaton, allowed: frozenset[str
     labels: set[str] = set()
     evidence: dict[str, float] = {}
     tagged = False
+    at = n_before = 0  # words before ``at``
     for end, (phrase, what) in machine.iter(text):
-        start = text.count(" ", 0, end - len(phrase))
+        n_before += text.count(" ", at, end)
+        at = end
         for kind, name in what:
             if kind == "tag":
                 tagged = True
                 continue
             labels.add(name)
             if kind == "base":
-                places.append(start - 1)
+                places.append(n_before - phrase.count(" ") - 1)
                 base.add(name)
             evidence[f"{kind} {phrase}"] = WEIGHT_BASE if kind == "base" else WEIGHT_NOTICE
     expressions: list[str] = []

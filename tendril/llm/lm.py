@@ -301,7 +301,8 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", frequent: in
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>, times array<int>"
-    parts = materialize(texts.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scores").withColumn("at", F.monotonically_increasing_id())
+    # Numbered before they are written, so that both readers below see the same numbers.
+    parts = materialize(texts.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("at", F.monotonically_increasing_id()), "scores")
     words = parts.select("at", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("at", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     size = F.element_at(F.array(*[F.lit(float(x)) for x in lex.size]), (F.crc32(F.substring("word", -3, 3)) % SUFFIX_SLOTS + 1).cast("int"))
