@@ -21,8 +21,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of linked documents the one with the least id stays; links are near copies by 5-word shingles."""
+    return simhash.keep_near(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ linked, at most one edge a row, never all pairs.
 
 Defined results: a text of fewer words than a shingle is one shingle; a null or wordless text has fingerprint zero and is
 linked like any other; a null id keeps its fingerprint, takes part in no minimum, and gets the component's least id, or
-null. In ``keep_one`` an id names a document: rows that repeat it are one document, of which one row stays, and rows
+null. ``keep_near`` compares the shingle sets of what lies within its radius, and links by them alone. In ``keep_one`` an id names a document: rows that repeat it are one document, of which one row stays, and rows
 without an id stay.
 """
 
@@ -32,10 +32,13 @@ from .arrow_text import LOWER_SPACED, blocks
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+#: ``keep_near``: shingles, the share of two texts' shingles that makes them near copies, and how far apart these may lie.
+NEAR_SHINGLE, NEAR_SHARE, NEAR_RADIUS = 5, 0.8, 14
 TILE, BUCKET_ROWS = 256, 20_000
 
 
-def _fingerprints(data: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
+def _shingles(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[list[bytes], np.ndarray]:
+    """The hashes of all texts' word shingles, repeats included, and how many each text has."""
     raw = LOWER_SPACED[data].tobytes()
     n = len(off) - 1
     digest = xxhash.xxh64_digest
@@ -51,7 +54,15 @@ def _fingerprints(data: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray
         before = len(hashes)
         hashes += [digest(line[s:e], SEED) for s, e in zip(starts, ends[min(shingle, len(words)) - 1 :], strict=False)]
         counts[k] = len(hashes) - before
-    out = np.zeros(n, np.uint64)
+    return hashes, counts
+
+
+def _fingerprints(data: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
+    return _signed(*_shingles(data, off, shingle))
+
+
+def _signed(hashes: list[bytes], counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
@@ -120,10 +131,15 @@ def linked(keys: np.ndarray, parts: np.ndarray, crossing: np.ndarray, fp: np.nda
     return out
 
 
+def _ranges(radius: int) -> tuple[list[int], list[int]]:
+    """Widths and shifts of radius + 1 bit ranges."""
+    widths = [64 // (radius + 1) + (k < 64 % (radius + 1)) for k in range(radius + 1)]
+    return widths, [sum(widths[:k]) for k in range(radius + 1)]
+
+
 def links(prints: DataFrame, fp: str = "fp", radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): edges that join all fingerprints within the radius, at most one for each row of a bucket."""
-    widths = [64 // (radius + 1) + (k < 64 % (radius + 1)) for k in range(radius + 1)]
-    shifts = [sum(widths[:k]) for k in range(radius + 1)]
+    widths, shifts = _ranges(radius)
     ranges = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for k, (s, w) in enumerate(zip(shifts, widths, strict=True))]
     distinct = prints.select(F.col(fp).alias("fp")).distinct()
     dealt = distinct.select("fp", F.explode(F.array(*ranges)).alias("bucket")).select("fp", "bucket.k", "bucket.v")
@@ -184,3 +200,182 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
     found = report(docs, doc, text, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found.withColumnRenamed("doc_id", doc), doc, "left_semi").dropDuplicates([doc])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(doc).isNull()))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups out of batches in the order of the key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in key], 1)
+        own = np.flatnonzero((keys != keys[-1]).any(1))
+        cut = int(own[-1]) + 1 if len(own) else 0  # rows before the batch's last group
+        if held and (cut or (keys[0] != last).any()):
+            whole = cut if (keys[-1] != last).any() else 0
+            yield pa.Table.from_batches([*held, b.slice(0, whole)])
+            held, b = [], b.slice(whole)
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+            b = b.slice(cut)
+        held.append(b)
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _group_numbers(t: pa.Table, key: list[str]) -> np.ndarray:
+    keys = np.stack([t.column(c).to_numpy() for c in key], 1)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(1)
+    return np.cumsum(new)
+
+
+def partnered(keys: np.ndarray, ranges: np.ndarray, parts: np.ndarray, crossing: np.ndarray, fp: np.ndarray, sizes: np.ndarray, radius: int, share: float, tile: int = TILE) -> np.ndarray:
+    """Whether a row lies within the radius of another of its group whose size allows the share.
+
+    keys are in ascending order. A pair counts in the first bit range it agrees in, ``ranges`` says which one the group is of.
+    """
+    pop = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((pop, keys))
+    keys, ranges, parts, crossing, fp, sizes, pop = (x[order] for x in (keys, ranges, parts, crossing, fp, sizes, pop))
+    widths, shifts = _ranges(radius)
+    masks = [np.uint64(((1 << w) - 1) << s) for w, s in zip(widths, shifts, strict=True)]
+    n = len(fp)
+    met = np.zeros(n, bool)
+    for s in range(0, n, tile):
+        e = min(s + tile, n)
+        for t in range(s, n, tile):
+            u = min(t + tile, n)
+            if keys[t] > keys[e - 1]:
+                break
+            if keys[s] == keys[u - 1] and pop[t] - pop[e - 1] > radius:
+                break
+            i, j = np.nonzero(np.bitwise_count(fp[s:e, None] ^ fp[None, t:u]) <= radius)
+            i, j = i + s, j + t
+            good = (i < j) & (keys[i] == keys[j]) & ~(met[i] & met[j]) & (~crossing[i] | (parts[i] != parts[j]))
+            good &= np.minimum(sizes[i], sizes[j]) >= share * np.maximum(sizes[i], sizes[j]) - 1e-9
+            i, j = i[good], j[good]
+            if len(i):
+                apart = fp[i] ^ fp[j]
+                first = np.argmax(np.stack([apart & m for m in masks], 1) == 0, axis=1)
+                own = first == ranges[i]
+                met[i[own]] = met[j[own]] = True
+    out = np.empty(n, bool)
+    out[order] = met
+    return out
+
+
+def alike(fp: np.ndarray, parts: np.ndarray, crossing: bool, values: np.ndarray, off: np.ndarray, radius: int, share: float, limit: int = 1 << 20) -> np.ndarray:
+    """For each row of a group the number of a row it is joined with, by pairs within the radius that have the share of
+    their sets in common; row k has the set values[off[k]:off[k + 1]]."""
+    n, sizes = len(fp), np.diff(off)
+    label = np.arange(n)
+    order = np.argsort(sizes, kind="stable")
+    ordered = sizes[order]
+    for at, i in enumerate(order.tolist()):
+        js = order[at + 1 : np.searchsorted(share * ordered - 1e-9, ordered[at], "right")]
+        js = js[(label[js] != label[i]) & (np.bitwise_count(fp[js] ^ fp[i]) <= radius)]
+        if crossing:
+            js = js[parts[js] != parts[i]]
+        own = values[off[i] : off[i + 1]]
+        step = max(1, limit // max(1, int(sizes[js].max()) if len(js) else 1))
+        for lo in range(0, len(js), step):
+            some = js[lo : lo + step]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            ends = np.cumsum(sizes[some])
+            theirs = values[np.repeat(off[some] - ends + sizes[some], sizes[some]) + np.arange(ends[-1])]
+            place = np.minimum(np.searchsorted(own, theirs), max(0, len(own) - 1))
+            hits = np.concatenate([[0], np.cumsum(own[place] == theirs)]) if len(own) else np.zeros(ends[-1] + 1, np.int64)
+            both = hits[ends] - hits[ends - sizes[some]]
+            near = both >= share * (sizes[i] + sizes[some] - both) - 1e-9
+            if near.any():
+                label[np.isin(label, label[some[near]])] = label[i]
+    return label
+
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int, whole: bool) -> DataFrame:
+    """(row, s, fp, size) or, if whole, (row, s, fp, shingles): the document as a struct, a hash of its set of shingles, its
+    fingerprint, and the set's size or its hashes in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, off in blocks(b.column(1)):
+                hashes, counts = _shingles(data, off, shingle)
+                flat = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64)
+                sets = [np.unique(x) for x in np.split(flat, np.cumsum(counts)[:-1])]
+                s = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
+                size = np.array([len(x) for x in sets], np.int32)
+                last = pa.array(size)
+                if whole:
+                    last = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), s, pa.array(_signed(hashes, counts).view(np.int64)), last], ["row", "s", "fp", "shingles" if whole else "size"])
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*others).alias("row"), F.col(text).alias("text"))
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, s long, fp long, " + ("shingles array<long>" if whole else "size int"))
+
+
+def near_links(texts: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE, share: float = NEAR_SHARE, radius: int = NEAR_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(a, b): edges that join all shingle sets within the radius that have the share in common.
+
+    texts: (t, text); nodes: (s, fp, size, t), where t names a text with the shingle set s. Sets are cut for those rows
+    alone that have a partner within the radius, and are compared in the bucket of the first bit range a pair agrees in.
+    """
+    widths, shifts = _ranges(radius)
+    ranges = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for k, (s, w) in enumerate(zip(shifts, widths, strict=True))]
+    dealt = nodes.select("s", "fp", "size", "t", F.explode(F.array(*ranges)).alias("bucket")).select("s", "fp", "size", "t", "bucket.k", "bucket.v")
+    full = dealt.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
+    rows = dealt.join(F.broadcast(full), ["k", "v"]).withColumn("parts", F.ceil(F.col("n") / bucket_rows).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("s", F.lit(7)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("k", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "s", "fp", "size", "t")
+    key = ["k", "v", "p", "q"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, key):
+            of = {c: t.column(c).to_numpy() for c in t.column_names}
+            met = partnered(_group_numbers(t, key), of["k"], of["part"], of["p"] != of["q"], of["fp"].view(np.uint64), of["size"], radius, share)
+            yield from t.filter(pa.array(met)).drop_columns(["size"]).combine_chunks().to_batches()
+
+    schema = "k int, v long, p int, q int, part int, s long, fp long, "
+    met = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(meet, schema + "t long")
+    met = materialize(met, "partnered")
+    sets = texts.join(met.select("t").distinct(), "t").dropDuplicates(["t"])
+    sets = materialize(shingle_sets(sets, "text", shingle, True).select("s", "shingles").dropDuplicates(["s"]), "shingles")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, key):
+            t = t.combine_chunks()
+            number = _group_numbers(t, key)
+            of = {c: t.column(c).to_numpy() for c in t.column_names if c != "shingles"}
+            lists = t.column("shingles").combine_chunks()
+            off = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values.to_numpy().view(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(number)], strict=True):
+                label = alike(of["fp"][lo:hi].view(np.uint64), of["part"][lo:hi], of["p"][lo] != of["q"][lo], values, off[lo : hi + 1], radius, share)
+                own = np.flatnonzero(label != np.arange(hi - lo))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(of["s"][lo + own]), pa.array(of["s"][lo + label[own]])], ["a", "b"])
+
+    return met.drop("t").join(sets, "s").select(*key, "part", "s", "fp", "shingles").repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "a long, b long")
+
+
+def keep_near(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = NEAR_SHINGLE, share: float = NEAR_SHARE, radius: int = NEAR_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The documents without near copies of one of a lesser id, over any number of steps.
+
+    Near copies have ``share`` of their sets of shingles in common (Jaccard) and fingerprints within the radius; texts with
+    one set of shingles always are. Rows without an id stay; of rows that repeat an id one stays.
+    """
+    named = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
+    prints = materialize(shingle_sets(named, "text", shingle, False).select("row.id", "row.t", "s", "fp", "size"), "fingerprints")
+    nodes = materialize(prints.groupBy("s").agg(F.min("id").alias("least"), F.min(F.struct("fp", "t", "size")).alias("x")).select("s", "least", "x.*"), "nodes")
+    found = components(near_links(named.select("t", "text"), nodes, shingle, share, radius, bucket_rows)).withColumnRenamed("node", "s")
+    placed = nodes.select("s", "least").join(found, "s", "left").withColumn("component", F.coalesce("component", "s"))
+    kept = placed.groupBy("component").agg(F.min("least").alias(doc)).select(doc).distinct()
+    kept = docs.join(kept, doc, "left_semi").dropDuplicates([doc])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc).isNull()))

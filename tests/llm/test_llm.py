@@ -429,6 +429,49 @@ def test_expression_values():
     assert licenses.evaluate(licenses.postfix("LGPL-2.1 WITH exception"), ok) == (False, {"lgpl"})
 
 
+@pytest.mark.parametrize("rows", [20_000, 7])
+def test_near_copies(spark, small, docs, rows):
+    """Copies with up to seven of 120 words changed, and texts that share less than 0.8, against all pairs."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(6):
+        base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+        for k in range(8):
+            copy = list(base)
+            for at in rng.sample(range(120), k):
+                copy[at] = f"v{rng.randrange(10_000)}"
+            texts.append(" ".join(copy) + (" \n" if g % 2 else ""))
+    more = spark.createDataFrame([(9000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    more = more.unionByName(small.select("doc_id", "text")).unionByName(docs.where("doc_id is null or doc_id = 4 or doc_id > 6").select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
+    have = sorted((r.doc_id, r.text) for r in more.where("doc_id is not null").collect())
+    runs = [words(lower(t)) for _, t in have]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in runs]
+    fp = []
+    for w in runs:
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 5]), seed=42) for k in range(max(1, len(w) - 4))] if w else []
+        fp.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    root = list(range(len(have)))
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    missed = far = 0
+    for j in range(len(have)):
+        for i in range(j):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                apart = (fp[i] ^ fp[j]).bit_count()
+                missed, far = missed + (apart > 14), far + (3 < apart <= 14)
+                if sets[i] == sets[j] or apart <= 14:
+                    x, y = sorted((of(i), of(j)))
+                    root[y] = x
+    assert far > 10 > missed
+    kept = simhash.keep_near(more, bucket_rows=rows)
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [have[k][0] for k in range(len(have)) if of(k) == k]
+    assert kept.where("doc_id is null").count() == more.where("doc_id is null").count()
+
+
 # The pipeline
 
 
