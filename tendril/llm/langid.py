@@ -6,8 +6,8 @@ first, one family against the rest; inside the chosen family one machine for eac
 margins deciding between equal votes. The machines are trained here, in numpy, by accelerated gradient descent on the
 squared hinge loss.
 
-Training takes a bounded sample of labelled rows: ``per_language`` documents of each language, and ``MAX_TRAIN`` in all,
-chosen by a hash of their ids; what reaches the driver are their trigram counts, at most ``DIMENSIONS`` each. Prediction
+Every language is learned. Training takes a bounded sample of labelled rows: ``per_language`` documents of each language,
+and ``MAX_TRAIN`` in all but at least one of each, chosen by a hash of their ids; what reaches the driver are their trigram counts, at most ``DIMENSIONS`` each. Prediction
 reads every text whole and needs nothing but the text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if no row is labelled;
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from .arrow_text import blocks
 
 DIMENSIONS, PER_LANGUAGE, MAX_TRAIN = 1 << 13, 600, 4800
-#: Languages that may be learned; of more, those with most documents.
-MAX_LANGUAGES = 60
 #: Strength of the margin against the size of the weights, and rounds of descent.
 COST, ROUNDS = 20.0, 100
 
@@ -147,13 +145,11 @@ def held_out(doc: Column) -> Column:
 def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, max_train: int = MAX_TRAIN) -> Model | None:
     """Learn from the documents that aren't held out; None if there is nothing to learn from."""
     known = docs.select(F.col(doc).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).dropna().where(~held_out(F.col("id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not sizes:
         return None
     each = max(1, min(per_language, max_train // len(sizes)))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, min(1.0, 1.5 * each / r.n + 20 / r.n)).otherwise(share)
+    share = F.element_at(F.map_from_arrays(F.lit([r.lang for r in sizes]), F.lit([min(1.0, 1.5 * each / r.n + 20 / r.n) for r in sizes])), F.col("lang"))
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30))
     some = known.where(drawn < share * (1 << 30)).withColumn("drawn", drawn)
 

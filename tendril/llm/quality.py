@@ -9,8 +9,8 @@ kept is false for a document that fails a base rule (fewer than ``min_words`` wo
 of its words in repeated windows of five), or that diverges beyond ``max_char`` or ``max_word``.
 
 Defined results: a null, empty or blank text has no words and fails; documents without a language are judged but do not
-shape the references; without any reference no text diverges; repeated rows count each. Languages beyond the
-``max_languages`` with most documents have no reference of their own. Texts are read whole.
+shape the references; without any reference no text diverges; repeated rows count each. Every language
+has a reference. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from ..functions.storage import materialize
 from .arrow_text import LOWER_SPACED, SPACED, blocks, mix, range_sums, run_hash, slice_hash, word_bounds
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
-COMMON, MAX_LANGUAGES = 50, 64
+COMMON = 50
 #: (least length, most distance) for characters and for words.
 MIN_CHARS, MAX_CHAR = 300, 0.30
 #: Words: the distance is taken as a share of that of a text without any common word.
 MIN_HIST_WORDS, MAX_WORD = 80, 0.95
 #: Distinct words that a task counts before it hands the counts on.
 FLUSH = 200_000
+#: Counts of known words that a task holds at once, over all texts of a block.
+CELLS = 1 << 23
 
 #: Classes: 0 lower, 1 upper, 2 beyond ASCII, 3 digit, 4 white space, 5 sentence marks, 6 symbols, 7 other, 8 inside a character.
 CLASS = np.full(256, 7, np.uint8)
@@ -81,18 +83,17 @@ def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     return known.mapInArrow(count, "lang string, kind string, bin string, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON, max_languages: int = MAX_LANGUAGES) -> dict:
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict:
     """Per language: shares of character classes, its common words and their shares (the last is for all other words).
 
-    What reaches the driver is bounded: ``max_languages`` times ``common`` words and a few counts.
+    What reaches the driver is bounded: ``common`` words and a few counts a language.
     """
     counts = materialize(language_counts(docs, text, lang), "language-counts")
     total = counts.groupBy("lang").pivot("kind", ["char", "word"]).agg(F.sum("n")).select("lang", F.col("word").alias("total"))
     by_rank = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "bin")
     top = counts.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= F.greatest(F.lit(common), F.lit(N_CLASSES)))
-    size = top.groupBy("lang").agg(F.sum("n").alias("size")).orderBy(F.desc("size"), "lang").limit(max_languages)
     found: dict[str, dict] = {}
-    for r in top.join(size, "lang").join(total, "lang").orderBy("lang", "kind", "rank").collect():
+    for r in top.join(total, "lang").orderBy("lang", "kind", "rank").collect():
         x = found.setdefault(r.lang, {"chars": np.zeros(N_CLASSES - 1), "words": [], "n": [], "total": r.total or 0})
         if r.kind == "char":
             x["chars"][int(r.bin)] = r.n
@@ -161,6 +162,14 @@ def _dup_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def some_texts(column: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of blocks of ``most`` texts or fewer."""
+    for _, _, data, off in blocks(column):
+        for lo in range(0, len(off) - 1, most):
+            own = off[lo : lo + most + 1]
+            yield data[own[0] : own[-1]], own - own[0]
+
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -174,7 +183,7 @@ def measure(docs: DataFrame, refs: dict, text: str = "text") -> DataFrame:
         refs, known = sent.value
         for b in batches:
             parts: list[dict[str, np.ndarray]] = []
-            for _, _, data, off in blocks(b.column(0).field(text)):
+            for data, off in some_texts(b.column(0).field(text), max(1, CELLS // max(1, len(known)))):
                 got = _measure(data, off, refs, known)
                 raw = data.tobytes()
                 got["n_dup_lines"] = np.array([_dup_lines(raw[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)])

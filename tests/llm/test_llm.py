@@ -222,6 +222,15 @@ def test_quality_verdict(spark):
     assert sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_of_many_languages(spark):
+    """The last of 70 languages is known by its own words too."""
+    rows = [(f"l{k:02}", " ".join(f"{w}{k:02}" for w in ("ba", "ce", "di", "fo") for _ in range(30 + (k < 69)))) for k in range(70)]
+    refs = quality.references(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(refs) == 70 and {f"{w}69".encode() for w in ("ba", "ce", "di", "fo")} == set(refs["l69"]["words"])
+    got = quality.judge(spark.createDataFrame(rows[-1:], "lang string, text string"), refs=refs).first()
+    assert got.n_words >= quality.MIN_HIST_WORDS and got.word_js < 0.01
+
+
 def test_jensen_shannon():
     d = quality.jensen_shannon(np.array([[1.0, 0], [0, 2.0], [0, 0]]), np.array([1.0, 0]))
     assert d[0] == 0 and d[1] == pytest.approx(1) and 0 <= d[2] <= 1
@@ -350,6 +359,15 @@ def test_langid(spark, docs, empty):
     assert {r.lang_pred for r in langid.report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_of_many_languages(spark):
+    words_of = [["".join(random.Random(f"{k} {j}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(8)] for k in range(64)]
+    rows = [(k * 10 + j, " ".join(ws), f"x{k:02}") for k, ws in enumerate(words_of) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.langs) == 64
+    assert all(r.row.lang == r.lang_pred for r in langid.predict(df, model).collect())
+
+
 def test_langid_families():
     assert [langid.family(x) for x in ("en", "de", "fr", "zz")] == ["germanic", "germanic", "romance", "zz"]
 
