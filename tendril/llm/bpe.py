@@ -12,8 +12,9 @@ Texts pass the vocabulary's normaliser (NFC, lower case; white space only parts
 strings of special tokens in a text are taken as these tokens, as the tokenizers library does by default.
 
 Defined results: a null text is encoded as an empty one, without tokens; no token is ever unknown
-(all 256 bytes are in the vocabulary). Extra columns pass through inside ``row``. Code points that Unicode 15.1 leaves
-unassigned may be parted into words otherwise than by the tokenizers library, whose tables are of another version.
+(all 256 bytes are in the vocabulary). Extra columns pass through inside ``row``. Code points that Unicode 15.1 assigns
+give the library's ids, alone and in sequences of marks; those it leaves unassigned may be parted into words otherwise, as
+the library's tables are of other versions.
 """
 
 from __future__ import annotations
@@ -41,8 +42,20 @@ LATIN_WORDS = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\t-\r \x85\xa0\w]|_)+"
 _FRACTIONS = re.compile("[²³¹¼½¾]")
 #: Added to the code of the byte that ends a word.
 END = 0x400
-#: Words and pairs that a task remembers.
-REMEMBERED = 250_000
+#: Words and pairs that a task remembers, and the characters of the longest such word.
+REMEMBERED, LONGEST = 250_000, 64
+
+# Marks that the tokenizers library's tables of composition, of Unicode 9, don't know. They part what stands
+# before and behind them, as a character without a combining class does. (U+11930 would compose with U+11935.)
+NEWER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF),
+    (0x1E4EC, 0x1E4EF),
+)
+_NEWER = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_MARKS) + "])")
 
 
 def byte_symbols() -> list[str]:
@@ -92,7 +105,9 @@ class _Words(dict):
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
-        found = self[word] = self.older.get(word) or self.encode(word)
+        found = self.older.get(word) or self.encode(word)
+        if len(word) <= LONGEST:
+            self[word] = found
         return found
 
 
@@ -103,7 +118,14 @@ def _is_latin(text: str) -> bool:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return _FRACTIONS.search(text) is None
+    return True
+
+
+def composed(text: str) -> str:
+    """NFC by the tables of the tokenizers library; nothing of Latin-1 changes."""
+    if _NEWER.search(text) is None:
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _NEWER.split(text))
 
 
 class Encoder:
@@ -184,10 +206,10 @@ class Encoder:
                 at -= length[token]
 
     def _plain(self, text: str) -> Iterator[int]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if not _is_latin(text):
+            text = composed(text).replace("Σ", "σ")
         text = text.lower()
-        found = self.find_latin(text) if _is_latin(text) else self.find(text)
+        found = self.find_latin(text) if _is_latin(text) and _FRACTIONS.search(text) is None else self.find(text)
         return chain.from_iterable(map(self.words.__getitem__, found))
 
     def encode(self, text: str) -> np.ndarray:
