@@ -6,15 +6,19 @@ length. The set of windows is broadcast to the tasks that scan the documents; a
 word by word before it counts.
 
 The number of windows is counted before anything is broadcast. Beyond ``max_windows`` the set is dealt into blocks of
-about that size by hash, and the documents pass the blocks one after another, so that what one task holds stays bounded.
-
-Defined results: a null or wordless text has no words and no hits; an item with a null id or text, or without a word, has
-no windows; repeated items and repeated rows each count for themselves (an id is listed once); an empty benchmark marks
-nothing. Texts are scanned whole.
+about that size by hash. The documents pass each block in a job of its own, which writes the hits, and its broadcast is
+given up before the next one; so no task and no driver ever holds more than a block. The hits of the blocks are joined by
+a 128-bit hash of the text.
+
+Defined results: a null or wordless text has no words and no hits; an item with a null text, or without a word, has
+no windows; the windows of an item without an id are hit like others, but no id is listed or counted for them; repeated
+items and repeated rows each count for themselves (an id is listed once); an empty benchmark marks nothing. Texts are
+scanned whole.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import materialize
 from .arrow_text import LOWER_WORDS, LOWER_WORDS_TABLE, blocks, range_sums, run_hash, slice_hash, word_bounds
 
 WINDOW = 10
@@ -46,7 +51,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", t
             w, n, i = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(n, pa.int32()), pa.array(i, pa.string())], ["window", "n", "item"])
 
-    known = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).dropna()
+    known = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     return known.mapInArrow(cut, "window binary, n int, item string").distinct()
 
 
@@ -108,7 +113,7 @@ def _scanner(broadcast, text_of: Callable[[pa.RecordBatch], pa.Array]) -> Callab
     """Adds the block's hits to columns hits and items, in the last two places of a batch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: WindowSet = broadcast.value
+        found: WindowSet = broadcast.value  # one block
         maps = found.bitmaps()
         for b in batches:
             names = b.schema.names
@@ -123,7 +128,8 @@ def _scanner(broadcast, text_of: Callable[[pa.RecordBatch], pa.Array]) -> Callab
                     spans, ids = new.setdefault(int(texts[s]), ([], set()))
                     spans.append((s - int(first[texts[s]]), e - int(first[texts[s]])))
                     ids.update(names_hit)
-                for k, (spans, ids) in new.items():
+                for k in {*new, *(k for k in range(hi - lo) if hits[lo + k])}:
+                    spans, ids = new.get(k, ([], set()))
                     old = hits[lo + k]
                     hits[lo + k] = _merge(spans + list(zip(old[::2], old[1::2], strict=True)))
                     items[lo + k] = sorted(ids | set(items[lo + k]))
@@ -134,13 +140,11 @@ def _scanner(broadcast, text_of: Callable[[pa.RecordBatch], pa.Array]) -> Callab
     return scan
 
 
-def _window_sets(benchmark: DataFrame, window: int, item: str, item_text: str, max_windows: int) -> Iterator[WindowSet]:
-    by_window = windows(benchmark, window, item, item_text).groupBy("window", "n").agg(F.collect_set("item").alias("items"))
-    count = by_window.count()
-    n_blocks = max(1, -(-count // max_windows))
-    for k in range(n_blocks):
-        part = by_window if n_blocks == 1 else by_window.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k)
-        yield WindowSet([(r.window, r.n, r["items"]) for r in part.collect()])
+def _window_blocks(benchmark: DataFrame, window: int, item: str, item_text: str, max_windows: int) -> list[DataFrame]:
+    """(window, n, items) of the distinct windows, in blocks of about ``max_windows`` rows."""
+    by_window = materialize(windows(benchmark, window, item, item_text).groupBy("window", "n").agg(F.collect_set("item").alias("items")), "windows")
+    n_blocks = max(1, -(-by_window.count() // max_windows))
+    return [by_window.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k) for k in range(n_blocks)] if n_blocks > 1 else [by_window]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, item: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -149,11 +153,28 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     row: the document as a struct, so that no name can clash; hits: flat word positions [start, end) of the united
     occurrences; items: sorted ids of the items with occurring windows.
     """
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for found in _window_sets(benchmark, window, item, item_text, max_windows):
-        sent = docs.sparkSession.sparkContext.broadcast(found)
-        out = out.mapInArrow(_scanner(sent, lambda b: b.column(0).field(text)), out.schema)
-    return out
+    none = {"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    *before, last = _window_blocks(benchmark, window, item, item_text, max_windows)
+
+    def passed(rows: DataFrame, block: DataFrame):
+        sent = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.window, r.n, r["items"]) for r in block.collect()]))
+        return sent, rows.mapInArrow(_scanner(sent, lambda b: b.column(0).field(text)), rows.schema)
+
+    if before:
+        body = F.col(f"row.`{text}`")
+        keyed = packed.select("row", F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"))
+        texts = keyed.select(F.struct(body.alias(text), "t1", "t2").alias("row"), *[v.alias(k) for k, v in none.items()])
+        found = []
+        for block in before:
+            sent, hit = passed(texts, block)
+            found.append(materialize(hit.where(F.size("hits") > 0).select("row.t1", "row.t2", "hits", "items"), "hits"))
+            sent.destroy()
+        every = functools.reduce(DataFrame.unionByName, found).distinct().groupBy("t1", "t2").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+        packed = keyed.join(materialize(every, "hits"), ["t1", "t2"], "left").select("row", *[F.coalesce(k, v).alias(k) if k in every.columns else v.alias(k) for k, v in none.items()])
+    else:
+        packed = packed.select("row", *[v.alias(k) for k, v in none.items()])
+    return passed(packed, last)[1]
 
 
 def n_hit(hits: str = "hits") -> Column:
@@ -201,13 +222,12 @@ def report(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     )
 
 
-
 _WORDS = "regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = f"""
 WITH docs AS (
   SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents
 ), items AS (
-  SELECT item_id, ws, least({WINDOW}, len(ws)) AS n FROM (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(ws) > 0
+  SELECT item_id, ws, least({WINDOW}, len(ws)) AS n FROM (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) > 0
 ), windows AS (
   SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s FROM items)
 ), places AS (
@@ -217,7 +237,7 @@ WITH docs AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY 1
 ), named AS (
-  SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY 1
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY 1
 )
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
