@@ -5,8 +5,10 @@ equal windows have equal anchors. The windows of a text fall into runs of neighb
 run are a fragment. Windows can only be equal if their fragments' anchors are, which deals the work by anchor:
 
 1. Fragments are described by hashes, without their bytes. An anchor met once has nothing equal: it is dropped.
-2. Fragments that are equal as a whole are one from here on, and repeated.
-3. The remaining fragments of an anchor are compared byte by byte. Their Burrows-Wheeler transform is taken (suffixes
+2. Fragments that are equal as a whole are one from here on, and repeated. This is decided by 128 bits of hashes of two
+   bases (of the anchor and of the whole fragment), not byte by byte: the bytes of all copies would have to be shuffled.
+3. The remaining fragments of an anchor are compared byte by byte. Windows whose hash isn't met again are left out, and of
+   stretches of equal bytes all but one. The Burrows-Wheeler transform of what is left is taken (suffixes
    sorted as far as ``length``), and intervals are extended backwards, breadth first, level by level: an extension whose
    right border is new gives the common prefix there. Values come in increasing order and the work stops at ``length``:
    borders without a value separate suffixes that share ``length`` bytes or more.
@@ -62,7 +64,8 @@ def _runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     last = valid.copy()
     last[:-1] &= new[1:] | ~valid[1:]
     size = np.flatnonzero(last) - starts + length
-    return np.searchsorted(off, starts, "right") - 1, starts, size, least[starts], slice_hash(prefix, starts, starts + size)
+    whole = slice_hash(range_sums(data, _OTHER_BASE), starts, starts + size, _OTHER_BASE)
+    return np.searchsorted(off, starts, "right") - 1, starts, size, least[starts], whole
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -157,17 +160,54 @@ def _spans(starts: np.ndarray, length: int) -> list[int]:
     return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + length], 1).ravel().tolist() if len(starts) else []
 
 
+def _candidates(text: np.ndarray, off: np.ndarray, once: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches whose windows may be repeated: no others have a hash that is met again.
+
+    Fragment k is text[off[k]:off[k + 1] - 1], a separator behind it; windows met in no fragment that is ``once`` are left out.
+    """
+    own = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    n = max(0, len(text) - length + 1)
+    at = np.arange(n)
+    at = at[at + length < off[own[:n] + 1]]
+    h = slice_hash(range_sums(text), at, at + length)
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    first = np.flatnonzero(new)
+    if not len(first):
+        return at, at
+    asked = np.logical_or.reduceat(once[own[at[order]]], first) & (np.diff(np.append(first, len(h))) > 1)
+    found = np.zeros(len(h), bool)
+    found[order] = np.repeat(asked, np.diff(np.append(first, len(h))))
+    at = at[found]
+    cut = np.flatnonzero(np.diff(at) != 1)
+    return at[np.append(0, cut + 1)[: len(at)]], at[np.append(cut, len(at) - 1)[: len(at)]] + length
+
+
 def _compare(fragments: list[tuple], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(t1, t2, start, end) of repeated spans of fragments (t1, t2, start, once, bytes), which may be of several anchors."""
-    ends = np.cumsum([len(f[4]) + 1 for f in fragments])
-    text = np.frombuffer(b"".join(f[4] + bytes([_PARTED]) for f in fragments), np.uint8)
-    found = repeated_starts(text, length)
-    for (t1, t2, start, once, raw), end in zip(fragments, ends.tolist(), strict=True):
-        if once and len(raw) >= length:
-            at = end - len(raw) - 1
-            spans = _spans(np.flatnonzero(found[at : at + len(raw) - length + 1]), length)
-            for s, e in zip(spans[::2], spans[1::2], strict=True):
-                yield t1, t2, start + s, start + e
+    """(t1, t2, start, end) of repeated spans of fragments (t1, t2, start, once, bytes), which may be of several anchors.
+
+    Stretches without a candidate don't enter the transform; stretches of equal bytes enter it once.
+    """
+    raw = b"".join(f[4] + bytes([_PARTED]) for f in fragments)
+    off = np.concatenate([[0], np.cumsum([len(f[4]) + 1 for f in fragments])])
+    starts, ends = _candidates(np.frombuffer(raw, np.uint8), off, np.array([f[3] for f in fragments], bool), length)
+    places: dict[bytes, list[int]] = {}
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        places.setdefault(raw[s:e], []).append(s)
+    if not places:
+        return
+    found = repeated_starts(np.frombuffer(b"".join(x + bytes([_PARTED]) for x in places), np.uint8), length)
+    at = 0
+    for piece, where in places.items():
+        spans = [0, len(piece)] if len(where) > 1 else _spans(np.flatnonzero(found[at : at + len(piece) - length + 1]), length)
+        at += len(piece) + 1
+        for s in where:
+            k = int(np.searchsorted(off, s, "right")) - 1
+            t1, t2, start, once, _ = fragments[k]
+            if once:
+                for lo, hi in zip(spans[::2], spans[1::2], strict=True):
+                    yield t1, t2, start + s - int(off[k]) + lo, start + s - int(off[k]) + hi
 
 
 SPANS = "t1 long, t2 long, start int, end int"
@@ -197,7 +237,8 @@ def covered(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     mixed = met.where("mixed")
     kinds = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "start", "size")).alias("one"))
     kinds = materialize(kinds, "fragments")
-    equal = mixed.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"])
+    # A sorted merge: its shuffles let Spark split the rows of a fragment that recurs often, which a broadcast after a shuffle doesn't.
+    equal = mixed.join(kinds.where("n > 1").select("anchor", "whole").hint("merge"), ["anchor", "whole"])
 
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1")
     wanted = kinds.join(open_, "anchor").select("one.t1", "one.t2", F.struct("anchor", "whole", (F.col("n") == 1).alias("once"), (F.col("different") > hot).alias("hot"), "one.start", "one.size").alias("x"))
