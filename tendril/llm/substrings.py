@@ -5,15 +5,15 @@ equal windows have equal anchors. The windows of a text fall into runs of neighb
 run are a fragment. Windows can only be equal if their fragments' anchors are, which deals the work by anchor:
 
 1. Fragments are described by hashes, without their bytes. An anchor met once has nothing equal: it is dropped.
-2. Fragments that are equal as a whole are one from here on, and repeated. This is decided by 128 bits of hashes of two
-   bases (of the anchor and of the whole fragment), not byte by byte: the bytes of all copies would have to be shuffled.
+2. Fragments that are equal as a whole are one from here on, and repeated. Equal means the first 128 bits of their SHA-256:
+   to compare these byte by byte, the bytes of all copies would have to be shuffled.
 3. The remaining fragments of an anchor are compared byte by byte. Windows whose hash isn't met again are left out, and of
    stretches of equal bytes all but one. The Burrows-Wheeler transform of what is left is taken (suffixes
    sorted as far as ``length``), and intervals are extended backwards, breadth first, level by level: an extension whose
    right border is new gives the common prefix there. Values come in increasing order and the work stops at ``length``:
    borders without a value separate suffixes that share ``length`` bytes or more.
-4. An anchor with more than ``hot`` different fragments is not compared in one task: the hashes (128 bits) of its windows
-   are counted as rows instead, which Spark pre-aggregates and splits.
+4. An anchor with more than ``hot`` different fragments is not compared in one task: the hashes of its windows (128 bits of
+   two bases) are counted as rows instead, which Spark pre-aggregates and splits.
 
 Spans of covered bytes are gathered by text, a text being known by a 128-bit hash of its content, so equal rows share
 their result. Nothing is capped or sampled, and matches never cross texts.
@@ -24,6 +24,7 @@ that is covered; ids may be null or repeat.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +40,16 @@ LENGTH, PIECE, HOT = 200, 32, 4096
 TOGETHER = 1 << 20
 _OTHER_BASE = 0xC2B2AE3D27D4EB4F
 _PARTED = 0xFF  # no byte of UTF-8
-RUNS = "t1 long, t2 long, start int, size int, anchor long, whole long"
+RUNS = "t1 long, t2 long, start int, size int, anchor long, whole long, whole2 long"
+#: A fragment with more than one in so many of all rows is found by a broadcast of at most so many such fragments.
+PLACES = 5000
 
 
 def _runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, start in data, size, anchor, hash of the fragment) of the runs of windows with one anchor."""
+    """(text, start in data, size, anchor, 128 bits of the fragment's SHA-256) of the runs of windows with one anchor."""
     n = len(data) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     prefix = range_sums(data)
     at = np.arange(len(data) - PIECE + 1)
     piece = slice_hash(prefix, at, at + PIECE)
@@ -64,8 +67,9 @@ def _runs(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, .
     last = valid.copy()
     last[:-1] &= new[1:] | ~valid[1:]
     size = np.flatnonzero(last) - starts + length
-    whole = slice_hash(range_sums(data, _OTHER_BASE), starts, starts + size, _OTHER_BASE)
-    return np.searchsorted(off, starts, "right") - 1, starts, size, least[starts], whole
+    raw, sha = memoryview(data), hashlib.sha256
+    whole = np.frombuffer(b"".join([sha(raw[s:e]).digest()[:16] for s, e in zip(starts.tolist(), (starts + size).tolist(), strict=True)]), np.int64)
+    return np.searchsorted(off, starts, "right") - 1, starts, size, least[starts].view(np.int64), whole[::2], whole[1::2]
 
 
 def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,9 +95,9 @@ def _described(texts: DataFrame, length: int) -> DataFrame:
             t1, t2 = (c.to_numpy(zero_copy_only=False) for c in b.columns[:2])
             for lo, _, data, off in blocks(b.column(2)):
                 for at, part, ends in _pieces(data, off, length):
-                    text, start, size, anchor, whole = _runs(part, ends, length)
+                    text, start, size, *keys = _runs(part, ends, length)
                     own = start - ends[text] + at
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[lo + text], t2[lo + text], own.astype(np.int32), size.astype(np.int32), anchor.view(np.int64), whole.view(np.int64))], [x.split()[0] for x in RUNS.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t1[lo + text], t2[lo + text], own.astype(np.int32), size.astype(np.int32), *keys)], [x.split()[0] for x in RUNS.split(", ")])
 
     return texts.select("t1", "t2", "text").mapInArrow(run, RUNS)
 
@@ -219,39 +223,43 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _cut(b: pa.RecordBatch) -> Iterator[tuple]:
-    """(anchor, whole, once, hot, t1, t2, start, bytes) of the fragments asked for of each text."""
+    """(anchor, once, hot, t1, t2, start, bytes) of the fragments asked for of each text."""
     for raw, t1, t2, asked in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("t1").to_pylist(), b.column("t2").to_pylist(), b.column("asked").to_pylist(), strict=True):
         for x in asked:
-            yield x["anchor"], x["whole"], x["once"], x["hot"], t1, t2, x["start"], raw[x["start"] : x["start"] + x["size"]]
+            yield x["anchor"], x["once"], x["hot"], t1, t2, x["start"], raw[x["start"] : x["start"] + x["size"]]
 
 
 def covered(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(t1, t2, start, end): spans of bytes to remove of each text; they may overlap."""
     runs = _described(texts, length)
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1")
+    often = runs.groupBy("anchor").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("whole", "whole2") for k, f in (("lo", F.min), ("hi", F.max))]).where("n > 1")
     # Written, so that the join below shuffles two tables and Spark can split a hot anchor's rows.
-    often = materialize(often.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    often = materialize(often.select("anchor", F.expr("whole_lo != whole_hi or whole2_lo != whole2_hi").alias("mixed")), "anchors")
     met = materialize(_described(texts, length).join(often, "anchor"), "runs")
     spans = lambda df: df.select("t1", "t2", "start", (F.col("start") + F.col("size")).alias("end"))
 
     mixed = met.where("mixed")
-    kinds = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "start", "size")).alias("one"))
+    kind = ["anchor", "whole", "whole2"]
+    kinds = mixed.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "start", "size")).alias("one"))
     kinds = materialize(kinds, "fragments")
-    # A sorted merge: its shuffles let Spark split the rows of a fragment that recurs often, which a broadcast after a shuffle doesn't.
-    equal = mixed.join(kinds.where("n > 1").select("anchor", "whole").hint("merge"), ["anchor", "whole"])
+    # The few fragments with a large share of the rows, of which there can be no more than PLACES, need no shuffle.
+    hot_n = (kinds.agg(F.sum("n")).first()[0] or 0) // PLACES + 1
+    told = mixed.join(F.broadcast(kinds.where(F.col("n") > hot_n).select(*kind, F.lit(True).alias("known"))), kind, "left")
+    rest = told.where("known is null").drop("known").join(kinds.where(f"n > 1 and n <= {hot_n}").select(*kind), kind)
+    equal = told.where("known").drop("known").unionByName(rest.select(*[c for c in told.columns if c != "known"]))
 
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1")
-    wanted = kinds.join(open_, "anchor").select("one.t1", "one.t2", F.struct("anchor", "whole", (F.col("n") == 1).alias("once"), (F.col("different") > hot).alias("hot"), "one.start", "one.size").alias("x"))
+    wanted = kinds.join(open_, "anchor").select("one.t1", "one.t2", F.struct("anchor", (F.col("n") == 1).alias("once"), (F.col("different") > hot).alias("hot"), "one.start", "one.size").alias("x"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("x").alias("asked"))
     # Copies of a text are one here, so that no fragment is cut twice and its bytes are shuffled once.
     source = texts.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "asked")
-    cut_schema = "anchor long, whole long, once boolean, hot boolean, t1 long, t2 long, start int, bytes binary"
+    cut_schema = "anchor long, once boolean, hot boolean, t1 long, t2 long, start int, bytes binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
             rows = list(_cut(b))
-            columns = zip(*rows, strict=True) if rows else [()] * 8
+            columns = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in cut_schema.split(", ")])
 
     fragments = materialize(source.mapInArrow(cut, cut_schema), "bytes")
