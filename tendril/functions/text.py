@@ -1,16 +1,19 @@
-"""Text expressions that stay inside Spark's own functions."""
+"""Text expressions, of Spark's own functions but for rare character entities."""
 
 from __future__ import annotations
 
+import html
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space of all scripts; Java's own class is ASCII only.
 _SPACE = "(?U)\\s+"
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#x27;": "'", "&#39;": "'", "&nbsp;": "\u00a0", "&middot;": "\u00b7", "&copy;": "\u00a9", "&amp;": "&"}
 
 
 def tokens(text: Column) -> Column:
@@ -23,9 +26,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
 
 
+@F.pandas_udf(StringType())  # a type, not its name, which needs a session
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def unescape(text: Column) -> Column:
-    """The common character entities as characters, the ampersand last."""
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), text)
+    """All character entities as characters: the common ones by replacement, the ampersand last; only texts that hold others
+    (any name of HTML 5, any number) go to Python, in batches."""
+    common = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), text)
+    rest = "|".join(e[1:] for e in _ENTITIES)
+    return F.coalesce(_unescaped(F.when(text.rlike(f"&(?!{rest})[#A-Za-z]"), text)), common)
 
 
 def normalize(text: Column) -> Column:

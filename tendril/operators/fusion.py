@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import numbered
+from ..functions.storage import materialize
 from ..functions.text import preview
 from . import dense, lexical
 from .lexical import top
@@ -38,8 +42,8 @@ def dedupe_targets(targets: DataFrame) -> DataFrame:
 def load_targets(profiles: DataFrame, projects: DataFrame) -> DataFrame:
     """(ordinal, source, id, text, embedding): embedded profiles, then embedded projects by id, without repeated texts."""
     both = profiles.select(F.lit("profile").alias("source"), "id", "text", "embedding").unionByName(projects.select(F.lit("project").alias("source"), "id", "text", "embedding"))
-    both = both.where("embedding is not null").withColumn("ordinal", F.row_number().over(Window.orderBy("source", "id")) - 1)
-    return dedupe_targets(both)
+    both = numbered(both.where("embedding is not null"), ["source", "id"], "ordinal")
+    return dedupe_targets(both.withColumn("ordinal", (F.col("ordinal") - 1).cast("int")))
 
 
 def query_texts(targets: DataFrame, message: str | None = None) -> DataFrame:
@@ -50,6 +54,35 @@ def query_texts(targets: DataFrame, message: str | None = None) -> DataFrame:
     return texts.where(F.trim("text") != "").distinct().select(F.md5("text").alias("query_id"), "text")
 
 
+@dataclass
+class Lists:
+    """What the methods share: each chunk's nearest target, and the ranked lists by distance and by BM25."""
+
+    near: DataFrame
+    dense: DataFrame
+    bm25: DataFrame | None
+
+
+def ranked_lists(chunks: DataFrame, targets: DataFrame, message: str | None = None, topics: tuple[str, ...] | None = None, fetch: int = 2 * CANDIDATE_K, index: lexical.Index | None = None, with_bm25: bool = True) -> Lists:
+    """Vectors and texts are read once each; what is written holds no vector and no text."""
+    found = materialize(dense.scan(chunks, targets, topics, fetch), "distances")
+    near = dense.nearest(found).select("notice_id", "chunk_id", "ordinal")
+    bm25 = None
+    if with_bm25:
+        scored = lexical.search(index or lexical.build_index(chunks), query_texts(targets, message), topics=topics)
+        bm25 = materialize(lexical_lists(scored, fetch), "lists")
+    return Lists(near, dense_lists(dense.pairs(found), fetch), bm25)
+
+
+def fuse(lists: Lists, method: str = "rrf", candidate_k: int = CANDIDATE_K, k: int = RRF_K) -> DataFrame:
+    """(notice_id, chunk_id, rank, score, ordinal) by the lists of a method."""
+    if method not in METHODS:
+        raise ValueError(f"method: {method!r}")
+    own = {"dense": lists.dense, "bm25": lists.bm25}.get(method)
+    fused = rrf(lists.dense.unionByName(lists.bm25) if own is None else own, k)
+    return top(fused.join(lists.near, ["notice_id", "chunk_id"]), candidate_k, ["notice_id"], "fused").select("notice_id", "chunk_id", "rank", F.round("fused", 6).alias("score"), "ordinal")
+
+
 def rank_chunks(chunks: DataFrame, targets: DataFrame, message: str | None = None, method: str = "rrf", topics: tuple[str, ...] | None = None, candidate_k: int = CANDIDATE_K, k: int = RRF_K, index: lexical.Index | None = None) -> DataFrame:
     """(notice_id, chunk_id, rank, score, ordinal): the ranked chunks of each notice, each with its nearest target.
 
@@ -58,17 +91,7 @@ def rank_chunks(chunks: DataFrame, targets: DataFrame, message: str | None = Non
     """
     if method not in METHODS:
         raise ValueError(f"method: {method!r}")
-    fetch = 2 * candidate_k
-    found = dense.distances(chunks, targets, topics)
-    lists = []
-    if method != "bm25":
-        lists.append(dense_lists(found, fetch))
-    if method != "dense":
-        scored = lexical.search(index or lexical.build_index(chunks), query_texts(targets, message), topics=topics)
-        lists.append(lexical_lists(scored, fetch))
-    fused = rrf(lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1]), k)
-    near = dense.nearest(found).select("notice_id", "chunk_id", "ordinal")
-    return top(fused.join(near, ["notice_id", "chunk_id"]), candidate_k, ["notice_id"], "fused").select("notice_id", "chunk_id", "rank", F.round("fused", 6).alias("score"), "ordinal")
+    return fuse(ranked_lists(chunks, targets, message, topics, 2 * candidate_k, index, method != "dense"), method, candidate_k, k)
 
 
 def hydrate(ranked: DataFrame, chunks: DataFrame, targets: DataFrame, n: int = PREVIEW) -> DataFrame:
@@ -88,7 +111,7 @@ def second_filter(notices: DataFrame, chunks: DataFrame, targets: DataFrame, mes
 
 def hybrid(chunks: DataFrame, targets: DataFrame, limit: int = 5, k: int = RRF_K) -> DataFrame:
     """(notice_id, chunk_id, rank, fused): distance and BM25 fused; equal sums keep the dense list's order, then BM25's."""
-    both = dense_lists(dense.distances(chunks, targets), 2 * limit).withColumn("kind", F.lit(0)).unionByName(lexical_lists(lexical.search(lexical.build_index(chunks), query_texts(targets)), 2 * limit).withColumn("kind", F.lit(1)))
+    both = dense_lists(dense.distances(chunks, targets, fetch=2 * limit), 2 * limit).withColumn("kind", F.lit(0)).unionByName(lexical_lists(lexical.search(lexical.build_index(chunks), query_texts(targets)), 2 * limit).withColumn("kind", F.lit(1)))
     fused = both.groupBy("notice_id", "chunk_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("fused"), F.min(F.struct("kind", "rank")).alias("seen"))
     order = Window.partitionBy("notice_id").orderBy(F.desc("fused"), "seen", "chunk_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("notice_id", "chunk_id", "rank", "fused")
@@ -96,4 +119,4 @@ def hybrid(chunks: DataFrame, targets: DataFrame, limit: int = 5, k: int = RRF_K
 
 def reference_fallback(chunks: DataFrame, references: DataFrame, limit: int = 5, k: int = RRF_K) -> DataFrame:
     """(notice_id, chunk_id, rank, fused): the dense lists of all references fused."""
-    return top(rrf(dense_lists(dense.distances(chunks, references), 2 * limit), k), limit, ["notice_id"], "fused").select("notice_id", "chunk_id", "rank", "fused")
+    return top(rrf(dense_lists(dense.distances(chunks, references, fetch=2 * limit), 2 * limit), k), limit, ["notice_id"], "fused").select("notice_id", "chunk_id", "rank", "fused")

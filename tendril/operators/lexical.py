@@ -17,22 +17,37 @@ MAX_SENT_TERMS = 10_000
 
 @dataclass
 class Index:
-    """postings (term, group, chunk_id, topic, tf, dl), terms (term, n) and the statistics of the corpus."""
+    """words (chunk_id, notice_id, l_topic, words, dl): the chunks' tokens, not yet read; or, if stored, postings (term,
+    notice_id, chunk_id, l_topic, dl, tf) by term with the statistics of the corpus."""
 
+    words: DataFrame
     postings: DataFrame
-    terms: DataFrame
-    n_chunks: int
-    mean_length: float
+    stored: bool = False
+    n_chunks: int = 0
+    mean_length: float = 0.0
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, n): the chunks that hold each term."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _postings(rows: DataFrame, words: str) -> DataFrame:
+    return rows.select("chunk_id", "notice_id", "l_topic", "dl", F.explode(words).alias("term")).groupBy("term", "notice_id", "chunk_id", "l_topic", "dl").agg(F.count("*").alias("tf"))
+
+
+def _statistics(rows: DataFrame) -> tuple[int, float]:
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean")).first()
+    return size.n, size.mean
 
 
 def build_index(chunks: DataFrame, chunk: str = "chunk_id", group: str = "notice_id", text: str = "content", topic: str = "l_topic", stored: bool = False) -> Index:
     """Index all chunks; ``stored`` writes the postings, by term, for many searches."""
     words = chunks.select(F.col(chunk).alias("chunk_id"), F.col(group).alias("notice_id"), F.col(topic).alias("l_topic"), tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
-    size = words.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("mean")).first()
-    postings = words.select("chunk_id", "notice_id", "l_topic", "dl", F.explode("words").alias("term")).groupBy("term", "notice_id", "chunk_id", "l_topic", "dl").agg(F.count("*").alias("tf"))
-    if stored:
-        postings = materialize(postings.repartition("term"), "postings")
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("n")), size.n, size.mean)
+    postings = _postings(words, "words")
+    if not stored:
+        return Index(words, postings)
+    return Index(words, materialize(postings.repartition("term"), "postings"), True, *_statistics(words))
 
 
 def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
@@ -42,15 +57,24 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text")
 def search(index: Index, queries: DataFrame, query: str = "query_id", text: str = "text", topics: tuple[str, ...] | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, notice_id, chunk_id, score): chunks that hold any term of a query, statistics over the whole corpus.
 
-    Only postings of the queries' terms are counted and scored. A query without terms finds nothing.
+    Only postings of the queries' terms are counted and scored. Without a stored index one pass over the texts finds them
+    and the lengths of all chunks. A query without terms finds nothing.
     """
     asked = query_terms(queries, query, text)
-    few = asked.select("term").distinct().limit(MAX_SENT_TERMS + 1).count() <= MAX_SENT_TERMS
+    terms = [r.term for r in asked.select("term").distinct().limit(MAX_SENT_TERMS + 1).collect()]
+    few = len(terms) <= MAX_SENT_TERMS
     sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    own = index.postings.join(sent(asked.select("term").distinct()), "term", "left_semi")
+    if few and not index.stored:
+        held = index.words.select("chunk_id", "notice_id", "l_topic", "dl", F.filter("words", lambda w: w.isin(terms)).alias("held"))
+        held = materialize(held, "held")
+        n_chunks, mean = _statistics(held)
+        own = _postings(held, "held")
+    else:
+        n_chunks, mean = (index.n_chunks, index.mean_length) if index.stored else _statistics(index.words)
+        own = index.postings.join(sent(asked.select("term").distinct()), "term", "left_semi")
     n = own.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log(1 + (index.n_chunks - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean_length)))
+    idf = F.log(1 + (n_chunks - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
     if topics is not None:
         own = own.where(F.col("l_topic").isin(*topics))
     scored = own.join(sent(asked.join(n, "term")), "term")

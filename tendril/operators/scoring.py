@@ -98,7 +98,8 @@ def notice_body(chunks: DataFrame, n: int = 6000) -> DataFrame:
     """(notice_id, body): all texts of a notice, cut; null if empty. Only texts that can reach the cut are gathered."""
     order = Window.partitionBy("notice_id").orderBy("chunk_index")
     before = F.coalesce(F.sum(F.length("content") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = chunks.withColumn("_before", before).where(F.col("_before") < n).drop("_before")
+    # A text that starts just behind the cut brings the separator before it, which may lie inside.
+    near = chunks.withColumn("_before", before).where(F.col("_before") < n + 2).drop("_before")
     notices = chunks.select("notice_id").distinct()
     return notices.join(concat_chunks(near, ["notice_id"]), "notice_id", "left").select("notice_id", preview(F.col("body"), n).alias("body"))
 

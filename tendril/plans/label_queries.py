@@ -183,11 +183,11 @@ def label_overlay(spark, sf_dir):
     return labels.overlay(docs.select("doc_id", F.col("source").alias("case_id"), F.col("lang").alias("notice_id")), cases)
 
 
-@query("positional_zip", "SELECT doc_id, place, text_len, embedding_len FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, length(text) AS text_len FROM documents WHERE doc_id < 500) JOIN (SELECT row_number() OVER (ORDER BY vec_id) AS place, len(embedding)::INT AS embedding_len FROM embeddings WHERE vec_id < 500) USING (place)")
+@query("positional_zip", "SELECT doc_id, place, text_len, embedding_len FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, length(text) AS text_len FROM documents) JOIN (SELECT row_number() OVER (ORDER BY vec_id) AS place, len(embedding)::INT AS embedding_len FROM embeddings) USING (place)")
 def positional_zip(spark, sf_dir):
+    from ..functions.ordinals import numbered
     from ..operators.relational import at_places
 
-    # Ordinals over the 500 rows that are zipped here.
-    left = table(spark, sf_dir, "documents").where("doc_id < 500").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("place"), F.length("text").cast("long").alias("text_len"))
-    right = table(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.row_number().over(Window.orderBy("vec_id")).cast("long").alias("place"), F.size("embedding").alias("embedding_len"))
-    return at_places(left, right, ["place"])
+    left = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("text_len"))
+    right = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("embedding_len"))
+    return at_places(numbered(left, ["doc_id"], "place"), numbered(right, ["vec_id"], "place").drop("vec_id"), ["place"])

@@ -65,10 +65,10 @@ def has_profile(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(there, "c_custkey", "left").select("c_custkey", F.col("has").isNotNull().alias("has_profile"))
 
 
-@query("key_conflicts", "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey <= 200 AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey > 200) UNION SELECT o_custkey FROM orders WHERE o_orderkey <= 200 GROUP BY 1 HAVING count(*) > 1")
+@query("key_conflicts", "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT') UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 HAVING count(*) > 1")
 def key_conflicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
-    return R.key_conflicts(rows.where("o_orderkey > 200"), rows.where("o_orderkey <= 200").select("key"), "key")
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").alias("key"))
+    return R.key_conflicts(rows.where("o_orderpriority != '1-URGENT'"), rows.where("o_orderpriority = '1-URGENT'").select("key"), "key")
 
 
 _NAMES = ("unspecified", "low", "urgent")

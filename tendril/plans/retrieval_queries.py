@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import numbered
 from ..operators import aggregate, dense, fusion, labels, lexical, metrics
 from . import domain
 from .domain import TOPICS, tok, with_
@@ -97,20 +100,20 @@ def dense_topk(spark, sf_dir):
 
 @query("dense_topk_multi", _sql("SELECT notice_id, ordinal, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY notice_id, ordinal ORDER BY distance, chunk_id) AS rank FROM dist) WHERE rank <= 20", _DENSE, {"dist": _SCOPED["dist"]}))
 def dense_topk_multi(spark, sf_dir):
-    found = dense.distances(*_chunks_targets(spark, sf_dir), TOPICS)
+    found = dense.distances(*_chunks_targets(spark, sf_dir), TOPICS, fetch=20)
     return _long(lexical.top(found, 20, ["notice_id", "ordinal"], "distance", largest=False), "rank").select("notice_id", "ordinal", "chunk_id", "distance", "rank")
 
 
 @query("nearest_target", _sql("SELECT notice_id, chunk_id, min_by(ordinal, (distance, ordinal)) AS ordinal, min(distance) AS distance FROM dist_all GROUP BY ALL", _DENSE))
 def nearest_target(spark, sf_dir):
-    return dense.nearest(dense.distances(*_chunks_targets(spark, sf_dir)))
+    return dense.nearest(dense.scan(*_chunks_targets(spark, sf_dir), fetch=1))
 
 
 @query("rrf_fusion", _sql("SELECT notice_id, chunk_id, fused FROM fused", _ALL, _ranked(_BOTH)))
 def rrf_fusion(spark, sf_dir):
     chunks, targets = _chunks_targets(spark, sf_dir)
-    scored = lexical.search(lexical.build_index(chunks), fusion.query_texts(targets), topics=TOPICS)
-    return fusion.rrf(fusion.dense_lists(dense.distances(chunks, targets, TOPICS), 100).unionByName(fusion.lexical_lists(scored, 100)))
+    lists = fusion.ranked_lists(chunks, targets, topics=TOPICS)
+    return fusion.rrf(lists.dense.unionByName(lists.bm25))
 
 
 def _retrieve(name: str, method: str, lists: str) -> None:
@@ -162,11 +165,8 @@ _aggregated("notice_discounted", "discounted_sum", "sum(score / log2(rank + 1))"
 
 @query("search_items", _sql(f"SELECT s.notice_id, nullif(aggregate_score, 0) AS score, row_number() OVER (ORDER BY aggregate_score DESC, s.notice_id) AS place FROM ({_SUMMED}) s", _ALL, _ranked(_BOTH)))
 def search_items(spark, sf_dir):
-    from pyspark.sql import Window
-
     found = fusion.second_filter(_notices(spark, sf_dir), *_chunks_targets(spark, sf_dir), topics=TOPICS)
-    place = F.row_number().over(Window.orderBy(F.desc("aggregate_score"), "notice_id"))  # a row for each notice found
-    return found.select("notice_id", F.nullif("aggregate_score", F.lit(0.0)).alias("score"), place.cast("long").alias("place"))
+    return numbered(found, [F.desc("aggregate_score"), "notice_id"], "place").select("notice_id", F.nullif("aggregate_score", F.lit(0.0)).alias("score"), "place")
 
 
 _HYBRID = {
@@ -219,11 +219,9 @@ def json_topic_filter(spark, sf_dir):
 @query("pooled_candidates", _sql("SELECT notice_id, chunk_id, dense_rank, bm25_rank, rrf_rank, least(dense_rank, bm25_rank, rrf_rank) AS best_rank, concat_ws(',', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END, CASE WHEN rrf_rank IS NOT NULL THEN 'rrf' END) AS retrieved_by, coalesce(grade::VARCHAR, '') AS chunk_relevance FROM (SELECT notice_id, chunk_id, min(rank) FILTER (m = 'dense') AS dense_rank, min(rank) FILTER (m = 'bm25') AS bm25_rank, min(rank) FILTER (m = 'rrf') AS rrf_rank FROM (SELECT *, 'dense' AS m FROM ranked_d UNION ALL SELECT *, 'bm25' FROM ranked_b UNION ALL SELECT *, 'rrf' FROM ranked) WHERE rank <= 20 GROUP BY ALL) LEFT JOIN relevance USING (notice_id, chunk_id)", _ALL, {k + "_d": v.replace("FROM fused", "FROM fused_d") for k, v in _ranked("SELECT * FROM dlists").items()}, {k + "_b": v.replace("FROM fused", "FROM fused_b") for k, v in _ranked("SELECT * FROM blists").items()}, _ranked(_BOTH), names=("chunks", "targets", "relevance")))
 def pooled_candidates(spark, sf_dir):
     chunks, targets = _chunks_targets(spark, sf_dir)
-    lists = None
-    for m in fusion.METHODS:
-        own = fusion.rank_chunks(chunks, targets, method=m, topics=TOPICS).select(F.lit(m).alias("method"), "notice_id", "chunk_id", "rank")
-        lists = own if lists is None else lists.unionByName(own)
-    pool = labels.reuse(labels.pooled(lists, 20), domain.relevance(spark, sf_dir), ["notice_id", "chunk_id"])
+    shared = fusion.ranked_lists(chunks, targets, topics=TOPICS)
+    lists = [fusion.fuse(shared, m).select(F.lit(m).alias("method"), "notice_id", "chunk_id", "rank") for m in fusion.METHODS]
+    pool = labels.reuse(labels.pooled(reduce(DataFrame.unionByName, lists), 20), domain.relevance(spark, sf_dir), ["notice_id", "chunk_id"])
     return _long(pool, "dense_rank", "bm25_rank", "rrf_rank", "best_rank")
 
 
@@ -272,6 +270,6 @@ def chat_context(spark, sf_dir):
     from ..operators.scoring import concat_chunks
 
     chunks, targets = _chunks_targets(spark, sf_dir)
-    best = lexical.top(dense.distances(chunks, targets.where("ordinal = 0")), 5, ["notice_id"], "distance", largest=False)
+    best = lexical.top(dense.distances(chunks, targets.where("ordinal = 0"), fetch=5), 5, ["notice_id"], "distance", largest=False)
     texts = best.select("chunk_id", F.col("rank").alias("chunk_index"), "notice_id").join(chunks.select("chunk_id", "content"), "chunk_id")
     return concat_chunks(texts, ["notice_id"]).select("notice_id", F.col("body").alias("context"))

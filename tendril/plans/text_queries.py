@@ -22,7 +22,7 @@ _TERMS = ("the", "tion", "le", "und", "zz-none")
 _LIST = "['the', 'tion', 'le', 'und', 'zz-none']"
 
 
-@query("normalize_text", "SELECT page_id, lower(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '[\\s\\x{00A0}\\x{0085}\\x{2028}\\x{2029}]+', ' ', 'g'))) AS content FROM pages")
+@query("normalize_text", "SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;?', '&', 'g'), '<[^>]+>', ' ', 'g'), '[\\s\\x{00A0}\\x{0085}\\x{2028}\\x{2029}]+', ' ', 'g'))) AS content FROM pages")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.normalize(F.col("html")).alias("content"))
 
@@ -57,9 +57,9 @@ def parse_values(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.parse_long(number).alias("budget"), X.parse_time(when).alias("deadline"))
 
 
-@query("ordered_dedupe", "SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ' ') AS words FROM (SELECT doc_id, " + tok("substr(text, 1, 200)") + " AS w FROM documents)")
+@query("ordered_dedupe", "SELECT d.doc_id, coalesce(words, '') AS words FROM documents d LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS words FROM (SELECT doc_id, word, min(place) AS place FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM (SELECT doc_id, " + tok("text") + " AS w FROM documents)) GROUP BY ALL) GROUP BY 1) USING (doc_id)")
 def ordered_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(X.tokens(F.substring("text", 1, 200))), " ").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(X.tokens(F.col("text"))), " ").alias("words"))
 
 
 @query("token_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -107,14 +107,18 @@ def chunk_status(spark, sf_dir):
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a header, a pipe table and bullets made of their own words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.split(F.substring("text", 1, 600), "\\s+").alias("w"))
-    word = lambda k: F.coalesce(F.get("w", F.lit(k)), F.lit("x"))
-    lines = [F.concat(F.lit("# 1. "), word(0)), F.concat(F.lit("| a | "), word(1), F.lit(" |")), F.lit("| --- | --- |"), F.concat(F.lit("| "), word(2), F.lit(" | 2 |")), F.lit(""), F.concat(F.lit("1. "), word(3)), F.concat_ws(" ", F.slice("w", 5, 40)), F.concat(F.lit("# 2. "), word(4)), F.concat_ws(" ", F.slice("w", 45, 40))]
+    """Whole texts, each twice, under two headers and beside a pipe table, made of their own words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.split("text", "[\\x09-\\x0D ]+").alias("w"))
+    word = lambda k: F.coalesce(F.translate(F.get("w", F.lit(k)), "|\\", ""), F.lit("x"))
+    lines = [F.concat(F.lit("# 1. "), word(0)), F.concat(F.lit("| a | "), word(1), F.lit(" |")), F.lit("| --- | --- |"), F.concat(F.lit("| "), word(2), F.lit(" | 2 |")), F.lit(""), F.concat(F.lit("1. "), word(3)), F.col("text"), F.concat(F.lit("# 2. "), word(4)), F.col("text")]
     return docs.select("doc_id", "source", F.concat_ws("\n", *lines).alias("content"), F.array(word(0), word(4)).alias("heads"))
 
 
-@query("md_tables")
+_WORD = "coalesce(translate(w[{}], '|\\', ''), 'x')".format
+_TABLE = f"""'<table>' || chr(10) || '  <tr><th>a</th><th>' || {_WORD(2)} || '</th></tr>' || chr(10) || '  <tr><td>a</td><td>' || {_WORD(2)} || '</td></tr>' || chr(10) || '  <tr><td>---</td><td>---</td></tr>' || chr(10) || '  <tr><td>' || {_WORD(3)} || '</td><td>2</td></tr>' || chr(10) || '</table>'"""
+
+
+@query("md_tables", f"SELECT doc_id, '# 1. ' || {_WORD(1)} || chr(10) || {_TABLE} || chr(10) || chr(10) || '1. ' || {_WORD(4)} || chr(10) || coalesce(text || chr(10), '') || '# 2. ' || {_WORD(5)} || coalesce(chr(10) || text, '') AS content FROM (SELECT doc_id, text, regexp_split_to_array(text, '[\\x09-\\x0D ]+') AS w FROM documents)")
 def md_tables(spark, sf_dir):
     return chunking.md_tables(_markdown(spark, sf_dir), strict=True).select("doc_id", "content")
 
@@ -135,39 +139,52 @@ def refine_chunks(spark, sf_dir):
     return chunking.refine(_sliced(spark, sf_dir), ["doc_id", "chunk_no", "l_topic", "s_topic"])
 
 
-@query("bullet_inventory", "SELECT doc_id, '-' AS bullets FROM documents")
+_BULLETED = [("□", "text"), ("3.", "text"), ("## 가)", "lang"), ("-", "source")]
+_BULLET_SQL = ", ".join("regexp_extract(body, '(?m)^[\\s\\x{00A0}\\x{0085}\\x{2028}\\x{2029}]*(?:#+[\\s\\x{00A0}]*)?(" + p + ")[\\s\\x{00A0}\\x{0085}\\x{2028}\\x{2029}]+', 1)" for p in INVENTORY)
+
+
+@query("bullet_inventory", "SELECT doc_id, array_to_string(list_filter(list_transform(range(1, len(found) + 1), lambda k: CASE WHEN list_position(found, found[k]) = k THEN found[k] ELSE '' END), lambda b: b <> ''), ',') AS bullets FROM (SELECT doc_id, [" + _BULLET_SQL + "] AS found FROM (SELECT doc_id, " + " || chr(10) || ".join(f"'{'  ' * k}{b} ' || coalesce({c}, '')" for k, (b, c) in enumerate(_BULLETED)) + " AS body FROM documents))")
 def bullet_inventory(spark, sf_dir):
-    found = X.bullets(F.concat(F.lit("  - "), F.substring("text", 1, 50)), INVENTORY)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("bullets"))
+    """Whole texts behind bullets, with what bullets they have themselves."""
+    body = F.concat_ws("\n", *[F.concat(F.lit(f"{'  ' * k}{b} "), F.coalesce(c, F.lit(""))) for k, (b, c) in enumerate(_BULLETED)])
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.bullets(body, INVENTORY), ",").alias("bullets"))
+
+
+_HASHED = "('0x' || substr(md5(word), 1, 12))::BIGINT"
 
 
-@query("embed_chunks")
+@query("embed_chunks", f"WITH words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\x09-\\x0D ]+'), lambda w: w <> '')) AS word FROM documents WHERE lang = 'fr'), hashed AS (SELECT doc_id, {_HASHED} % 64 AS k, CASE WHEN {_HASHED} // 64 % 2 = 1 THEN 1.0 ELSE -1.0 END AS v FROM words), summed AS (SELECT doc_id, k, sum(v) AS v FROM hashed GROUP BY ALL), sized AS (SELECT doc_id, greatest(1, sqrt(sum(v * v))) AS n FROM summed GROUP BY 1), made AS (SELECT doc_id, string_agg(k || ':' || round(v / n * 1000)::BIGINT, ' ' ORDER BY k) FILTER (round(v / n * 1000)::BIGINT <> 0) AS vector FROM summed JOIN sized USING (doc_id) GROUP BY 1), told AS (SELECT vec_id, string_agg(k || ':' || v, ' ' ORDER BY k) FILTER (v <> 0) AS vector FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, round(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings) GROUP BY 1) SELECT d.doc_id AS chunk_id, coalesce(made.vector, told.vector, '') AS vector FROM documents d LEFT JOIN made USING (doc_id) LEFT JOIN told ON told.vec_id = d.doc_id AND d.lang IS DISTINCT FROM 'fr' WHERE d.lang = 'fr' OR told.vec_id IS NOT NULL")
 def embed_chunks(spark, sf_dir):
-    rows = domain.chunks(spark, sf_dir).select("chunk_id", "content", "embedding")
-    return providers.embed(rows, providers.HashProvider(64)).select("chunk_id", F.size("embedding").alias("dimensions"))
+    """Chunks without vectors get them: those in French are taken to have none. Vectors as their places and thousandths."""
+    rows = domain.chunks(spark, sf_dir).where("embedding is not null or l_topic = 'fr'")
+    rows = rows.select("chunk_id", "content", F.when(~F.col("l_topic").eqNullSafe(F.lit("fr")), F.col("embedding")).alias("embedding"))
+    found = providers.embed(rows, providers.HashProvider(64)).select("chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("v"))
+    told = F.filter(F.transform("v", lambda x, k: F.when(x != 0, F.concat_ws(":", k, x))), lambda x: x.isNotNull())
+    return found.select("chunk_id", F.array_join(told, " ").alias("vector"))
 
 
-@query("criterion_prompt", with_("chunks", first="SELECT notice_id, chunk_id, content, row_number() OVER (PARTITION BY notice_id ORDER BY chunk_id) AS rank FROM chunks") + "SELECT f.notice_id AS criterion_id, '[criterion]' || chr(10) || 'name=' || f.notice_id || chr(10) || 'description=d' || chr(10) || 'max_score=10' || chr(10) || chr(10) || '[chunks]' || chr(10) || string_agg('- chunk_id=' || chunk_id || ': ' || content, chr(10) ORDER BY rank) || chr(10) || chr(10) || '[projects]' || chr(10) || any_value(p.lines) AS prompt FROM first f, (SELECT string_agg('- project_id=' || item_id || ' title=' || text, chr(10) ORDER BY item_id) AS lines FROM benchmark WHERE item_id < 3) p WHERE rank <= 5 GROUP BY 1")
+@query("criterion_prompt", with_("chunks", first="SELECT notice_id, chunk_id, content, row_number() OVER (PARTITION BY notice_id ORDER BY chunk_id) AS rank FROM chunks") + "SELECT f.notice_id AS criterion_id, '[criterion]' || chr(10) || 'name=' || f.notice_id || chr(10) || 'description=d' || chr(10) || 'max_score=10' || chr(10) || chr(10) || '[chunks]' || chr(10) || string_agg('- chunk_id=' || chunk_id || ': ' || content, chr(10) ORDER BY rank) || chr(10) || chr(10) || '[projects]' || chr(10) || any_value(p.lines) AS prompt FROM first f, (SELECT string_agg('- project_id=' || item_id || ' title=' || text, chr(10) ORDER BY item_id) AS lines FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 50)) p WHERE rank <= 5 GROUP BY 1")
 def criterion_prompt(spark, sf_dir):
     order = Window.partitionBy("notice_id").orderBy("chunk_id")
     ranked = domain.chunks(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(F.col("notice_id").alias("criterion_id"), "chunk_id", "rank", "content")
     criteria = ranked.select("criterion_id").distinct().select("criterion_id", F.lit(1).alias("company_id"), F.col("criterion_id").alias("name"), F.lit("d").alias("description"), F.lit("10").alias("max_score"))
-    projects = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.lit(1).alias("company_id"), F.col("item_id").alias("project_id"), F.col("text").alias("title"))
+    projects = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("company_id"), F.col("item_id").alias("project_id"), F.col("text").alias("title"))
     return scoring.criterion_prompt(criteria, ranked, projects)
 
 
-@query("search_end_to_end", _sql(f"SELECT notice_id, budget_krw, aggregate_score, n_chunks FROM ({_SUMMED}) JOIN (SELECT 'src' || o_orderkey AS notice_id, floor(o_totalprice)::BIGINT AS budget_krw FROM orders WHERE o_orderkey < 20 AND floor(o_totalprice) >= 50000) USING (notice_id)", _ALL, _ranked(_BOTH)))
+@query("search_end_to_end", _sql(f"SELECT notice_id, budget_krw, aggregate_score, n_chunks FROM ({_SUMMED}) JOIN (SELECT 'src' || o_orderkey AS notice_id, floor(o_totalprice)::BIGINT AS budget_krw FROM orders WHERE floor(o_totalprice) >= 50000) USING (notice_id)", _ALL, _ranked(_BOTH)))
 def search_end_to_end(spark, sf_dir):
-    """Hard filter, second filter, and both joined: documents' sources are the notices, filtered by their first order."""
+    """Hard filter over all notices, second filter, and both joined: documents' sources are the notices that have chunks."""
     from ..operators.relational import HardFilter, hard_filter
 
-    notices = domain.notices(spark, sf_dir).where("notice_id < 20").withColumn("notice_id", F.concat(F.lit("src"), F.col("notice_id").cast("string")))
+    notices = domain.notices(spark, sf_dir).withColumn("notice_id", F.concat(F.lit("src"), F.col("notice_id").cast("string")))
     kept = hard_filter(notices, HardFilter(budget_min=50_000))
-    found = fusion.second_filter(kept.select("notice_id"), domain.chunks(spark, sf_dir), fusion.dedupe_targets(domain.targets(spark, sf_dir)), topics=domain.TOPICS)
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("notice_id")).distinct()
+    found = fusion.second_filter(kept.select("notice_id").join(sources, "notice_id", "left_semi"), domain.chunks(spark, sf_dir), fusion.dedupe_targets(domain.targets(spark, sf_dir)), topics=domain.TOPICS)
     return kept.join(found, "notice_id").select("notice_id", "budget_krw", "aggregate_score", "n_chunks")
 
 
-@query("ingest_stream")
+@query("ingest_stream", "WITH toks AS (SELECT doc_id, len(" + tok("text") + ") AS n FROM documents) SELECT doc_id, (CASE WHEN n <= 7500 THEN 0 ELSE k // 7100 + 1 END)::INT AS part_no, least(7500, n - k)::INT AS token_count FROM (SELECT doc_id, n, unnest(CASE WHEN n <= 7500 THEN [0] ELSE range(0, n, 7100) END) AS k FROM toks)")
 def ingest_stream(spark, sf_dir):
     """Documents as a landing folder: each batch is cut into windows and appended once."""
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
@@ -179,7 +196,7 @@ def ingest_stream(spark, sf_dir):
         return found.select("doc_id", "part_no", F.size("window").alias("token_count"))
 
     feeds.work(source, step, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema("doc_id long, part_no int, token_count int").parquet(f"{base}/out")
+    return spark.read.schema("doc_id long, part_no int, token_count int").parquet(f"{base}/out").select("doc_id", "part_no", "token_count")
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

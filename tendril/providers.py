@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -30,9 +31,9 @@ class HashProvider:
         out = []
         for t in texts:
             v = np.zeros(self.dimensions)
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest())
-                v[h % self.dimensions] += 1 if h >> 63 else -1
+            for w in filter(None, re.split(r"[\x09-\x0D ]+", t.lower())):
+                h = int(hashlib.md5(w.encode()).hexdigest()[:12], 16)
+                v[h % self.dimensions] += 1 if h // self.dimensions % 2 else -1
             out.append((v / max(1.0, float(np.linalg.norm(v)))).tolist())
         return out
 

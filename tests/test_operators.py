@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tendril import providers
 from tendril.functions import text as X
 from tendril.functions.chunk_values import INVENTORY
+from tendril.functions.ordinals import numbered
 from tendril.operators import aggregate, chunking, classify, dense, fusion, labels, lexical, metrics, relational, scoring
 from tendril.sources import feed, files
 from tendril.streaming import feeds
@@ -57,9 +58,52 @@ def test_second_filter_without_targets_has_every_notice(spark):
         fusion.second_filter(notices, chunks, spark.createDataFrame([], TARGETS), candidate_k=5, final_k=10)
 
 
-def test_zero_vector_is_at_distance_one(spark):
-    df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
-    assert df.select(dense.distance(F.col("a"), F.col("b"))).first()[0] == 1.0
+def test_distances(spark, monkeypatch):
+    """All pairs, in one block of targets and in several; vectors without a length or of another width are at distance one."""
+    vectors = [[1.0, 0.0], [0.0, 0.0], [1.0, 1.0], None, [2.0, 0.0, 1.0]]
+    chunks = spark.createDataFrame([(1, k, k, "en", "x", v) for k, v in enumerate(vectors)], CHUNKS)
+    targets = spark.createDataFrame([(0, "profile", 1, "a", [1.0, 0.0]), (1, "project", 1, "b", [0.0, 2.0]), (2, "project", 2, "c", None), (3, "project", 3, "d", [0.0, 0.0])], TARGETS)
+    want = {(k, t): 1.0 for k in (0, 1, 2, 4) for t in (0, 1, 3)} | {(0, 0): 0.0, (2, 0): 0.292893, (2, 1): 0.292893}
+    for most in (5000, 1):
+        monkeypatch.setattr(dense, "MAX_TARGETS", most)
+        assert {(r.chunk_id, r.ordinal): r.distance for r in dense.distances(chunks, targets).collect()} == want
+        assert {r.chunk_id: r.ordinal for r in dense.nearest(dense.scan(chunks, targets, fetch=1)).collect()} == {0: 0, 1: 0, 2: 0, 4: 0}
+    assert dense.distances(chunks, targets.limit(0)).count() == dense.distances(chunks.limit(0), targets).count() == 0
+
+
+def test_a_cut_inside_a_batch_keeps_the_closest(spark):
+    chunks = spark.createDataFrame([(k % 3, k, k, "en", "x", [1.0, float(k % 17)]) for k in range(300)], CHUNKS)
+    targets = spark.createDataFrame([(t, "project", t, f"t{t}", [1.0, float(t)]) for t in range(4)], TARGETS)
+    best = lambda f: sorted(map(tuple, lexical.top(dense.distances(chunks, targets, fetch=f), 7, ["notice_id", "ordinal"], "distance", largest=False).collect()))
+    assert best(7) == best(None)
+
+
+def test_stored_index_finds_the_same(spark):
+    chunks = spark.createDataFrame([(1, k, k, "en", " ".join("abcdef"[j] for j in range(6) if k >> j & 1), [1.0, 0.0]) for k in range(64)], CHUNKS)
+    q = spark.createDataFrame([("q", "a c zz"), ("r", "f")], "query_id string, text string")
+    found = [rows(lexical.search(lexical.build_index(chunks, stored=x), q), "query_id", "chunk_id") for x in (False, True)]
+    assert found[0] == found[1] and len(found[0]) == 80
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(k * 7 % 100, "x") for k in range(100)], "k int, v string").repartition(5)
+    assert {(r.k, r.place) for r in numbered(df, [F.desc("k")], "place").collect()} == {(k, 100 - k) for k in range(100)}
+    assert numbered(df.limit(0), ["k"], "place").count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 7, 8, 9, 10, 11])
+def test_notice_body_at_the_cut(spark, size):
+    """A first text that ends just before, at and behind a cut at ten characters."""
+    chunks = spark.createDataFrame([(1, 0, "x" * size), (1, 1, "yy"), (1, 2, "z")], "notice_id int, chunk_index int, content string")
+    assert scoring.notice_body(chunks, 10).first().body == ("x" * size + "\n\nyy\n\nz")[:10]
+
+
+def test_character_entities(spark):
+    import html
+
+    texts = ["a&eacute;b &#8364; &#x4e2d; &amp;lt; &hellip;", "&lt;p&gt; &nbsp;", "none & nothing", None, "&notit; &copy 1"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.unescape(F.col("t"))).collect()] == [t if t is None else html.unescape(t) for t in texts]
 
 
 @pytest.mark.parametrize(("method", "first"), [("max", 20), ("sum_top_3", 10), ("discounted_sum", 10), ("sum_top_k", 10)])
