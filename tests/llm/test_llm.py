@@ -410,8 +410,9 @@ def covered(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_substrings(spark, docs, empty, hot):
+@pytest.mark.parametrize(("hot", "places"), [(4096, 5000), (2, 1)])
+def test_substrings(spark, docs, empty, hot, places, monkeypatch):
+    monkeypatch.setattr(substrings, "PLACES", places)
     rng = random.Random(5)
     base = "".join(rng.choice("abc dé") for _ in range(2500))
     texts = ["x" * 199, "x" * 200, "x" * 700, "ab" * 300] + [base[rng.randint(0, 1200) :][: rng.randint(100, 1200)] + str(rng.random()) for _ in range(40)]
