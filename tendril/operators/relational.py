@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Keys of an ``IN`` list that go into the plan; longer lists are joined.
 MAX_LISTED = 1_000
+#: Characters of a search's message.
+MESSAGE = 2_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,21 @@ class HardFilter:
         return [make(x) for x, make in told if x is not None]
 
 
+@dataclass(frozen=True)
+class SearchRequest:
+    """A search: conditions, whose domain code must be one of ``codes``, and a message of at most ``MESSAGE`` characters."""
+
+    filters: HardFilter = HardFilter()
+    message: str | None = None
+    codes: frozenset[str] | None = None
+
+    def __post_init__(self) -> None:
+        if self.codes is not None and self.filters.domain_code is not None and self.filters.domain_code not in self.codes:
+            raise ValueError(f"domain_code: {self.filters.domain_code!r}")
+        if self.message is not None and len(self.message) > MESSAGE:
+            raise ValueError(f"the message has more than {MESSAGE} characters")
+
+
 def hard_filter(notices: DataFrame, conditions: HardFilter) -> DataFrame:
     return reduce(lambda df, c: df.where(c), conditions.conditions(), notices)
 

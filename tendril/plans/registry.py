@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from . import label_queries, relational_queries, retrieval_queries, text_queries  # noqa: E402,F401
+from . import label_queries, prompt_queries, relational_queries, retrieval_queries, text_queries  # noqa: E402,F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,12 +45,26 @@ class _Page(InputPartition):
         self.number = number
 
 
+def total_count(body: str | None) -> int:
+    """What a page says of the feed's number of items; 0 if it says nothing."""
+    try:
+        return int(json.loads(body or "{}")["response"]["body"].get("totalCount", 0))
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return 0
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, fetch: Callable[[int], str | None], pages: int):
-        self.fetch, self.pages = fetch, pages
+    def __init__(self, fetch: Callable[[int], str | None], pages: int | None, rows: int):
+        self.fetch, self.pages, self.rows = fetch, pages, rows
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(k + 1) for k in range(self.pages)]
+        pages = self.pages
+        if pages is None:
+            try:
+                pages = -(-total_count(self.fetch(1)) // self.rows)
+            except Exception:  # the first page's task tells the error
+                pages = 1
+        return [_Page(k + 1) for k in range(max(1, pages))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         try:
@@ -61,8 +76,12 @@ class _Reader(DataSourceReader):
             yield partition.number, body, None
 
 
-def page_source(name: str, fetch: Callable[[int], str | None], pages: int) -> type[DataSource]:
-    """A data source of (page, body, error), one task a page; ``fetch`` gets a page's JSON text, None beyond the last."""
+def page_source(name: str, fetch: Callable[[int], str | None], pages: int | None = None, rows: int = PAGE_ROWS) -> type[DataSource]:
+    """A data source of (page, body, error), one task a page; ``fetch`` gets a page's JSON text, None beyond the last.
+
+    Without ``pages`` their number comes from the total that the first page tells, at ``rows`` items a page. Pages are
+    fetched side by side; ``until_end`` leaves those that reading one after another would have come to.
+    """
 
     class Pages(DataSource):
         @classmethod
@@ -73,11 +92,28 @@ def page_source(name: str, fetch: Callable[[int], str | None], pages: int) -> ty
             return "page int, body string, error string"
 
         def reader(self, schema) -> DataSourceReader:
-            return _Reader(fetch, pages)
+            return _Reader(fetch, pages, rows)
 
     return Pages
 
 
+def until_end(pages: DataFrame, by: str | None = None) -> DataFrame:
+    """The pages before the first that failed or is empty, and none beyond the one that completes the total.
+
+    pages: (by, page, n_items, error, total); a total of 0 ends a feed behind its first page.
+    """
+    order = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("page")  # a row for each page
+    over = F.max(F.when(F.col("error").isNotNull() | (F.coalesce("n_items", F.lit(0)) == 0), 1).otherwise(0)).over(order)
+    before = F.coalesce(F.sum("n_items").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = pages.withColumns({"_over": over, "_before": before, "_first": F.row_number().over(order) == 1})
+    return rows.where("_over = 0 and (_first or _before < coalesce(total, 0))").drop("_over", "_before", "_first")
+
+
+def storable(parsed: DataFrame) -> DataFrame:
+    """Parsed notices (status, markdown) that are stored, as PENDING: without Markdown a notice is not."""
+    return parsed.where("status = 'ok' and markdown != ''").drop("status").withColumn("parse_status", F.lit("PENDING"))
+
+
 def items(envelopes: DataFrame, order: str = "page", path: str = "response.body.items") -> DataFrame:
     """(page, pos, item) of parsed envelopes; an empty page has no items."""
     return envelopes.select(order, F.posexplode(F.col(path)).alias("pos", "item"))

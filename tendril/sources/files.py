@@ -66,3 +66,15 @@ def fill(template: str, values: dict[str, str]) -> str:
 def sse(rows: DataFrame) -> DataFrame:
     """(event): server-sent events of rows, one each."""
     return rows.select(F.concat(F.lit("data: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("event"))
+
+
+def label_context(cases: DataFrame, methods: list[str], pool_k: int, scope: str = "pooled_candidates") -> DataFrame:
+    """(case_id, context): what a label file was made from, as JSON with nulls told.
+
+    cases: (case_id, company_id, bid_notice_ids, message) and any further columns, which come last.
+    """
+    first = ["case_id", "company_id", "bid_notice_ids", "message"]
+    rest = [F.col(f"`{c}`") for c in cases.columns if c not in first]
+    ids = F.coalesce("bid_notice_ids", F.array().cast(cases.schema["bid_notice_ids"].dataType)).alias("bid_notice_ids")
+    told = F.struct("case_id", "company_id", ids, "message", F.array(*map(F.lit, methods)).alias("methods"), F.lit(pool_k).alias("pool_k"), F.lit(scope).alias("label_scope"), *rest)
+    return cases.select("case_id", F.to_json(told, {"ignoreNullFields": "false"}).alias("context"))

@@ -388,3 +388,29 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan("topn_per_group")
     assert "TakeOrderedAndProject" in plan("newest_first")
     assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,5-LOW)]" in plan("hard_filter_code")
+
+
+def test_search_request():
+    codes = frozenset(feed.CATEGORIES)
+    relational.SearchRequest(relational.HardFilter(domain_code="81112002"), "x" * 2000, codes)
+    for filters, message in ((relational.HardFilter(domain_code="1"), None), (relational.HardFilter(), "x" * 2001)):
+        with pytest.raises(ValueError):
+            relational.SearchRequest(filters, message, codes)
+
+
+def test_feed_tells_its_pages(spark):
+    def fetch(page):
+        if page == 3:
+            raise OSError("gone")
+        return '{"response": {"body": {"totalCount": 5, "items": []}}}'
+
+    spark.dataSource.register(feed.page_source("told_pages", fetch, rows=2))
+    assert sorted((r.page, r.error) for r in spark.read.format("told_pages").load().collect()) == [(1, None), (2, None), (3, "gone")]
+    assert [feed.total_count(x) for x in (None, "", "[]", "x", '{"response": {"body": {}}}')] == [0] * 5
+
+
+def test_pages_until_the_end(spark):
+    page = lambda n, items, error=None, total=6: (n, items, error, total)
+    for pages, want in (([page(1, 3), page(2, 3), page(3, 3)], [1, 2]), ([page(1, 3), page(2, 0), page(3, 3)], [1]), ([page(1, 3), page(2, 3, "x")], [1]), ([page(1, 3, total=0), page(2, 3, total=0)], [1]), ([page(1, 0)], [])):
+        df = spark.createDataFrame(pages, "page int, n_items int, error string, total long")
+        assert [r.page for r in feed.until_end(df).orderBy("page").collect()] == want
