@@ -10,8 +10,9 @@ An audit compares the roots of two replicas, then the upper ranges of files whos
 those, and last the records of lower ranges that differ: only mismatching branches are descended, and what is read on
 the way down shrinks with them.
 
-Defined results: null urls and bodies are empty ones; pages without an id go into file -1; equal records are stored once
-with their number of copies, and a differing number of copies is damage; an empty replica lacks every record.
+Defined results: null urls and bodies are empty ones; pages without an id go into ``NULL_FILES`` files of negative numbers,
+by the hash of the record; equal records are stored once with their number of copies, and a differing number of copies is
+damage; an empty replica lacks every record, and records that only the replica has are told too.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
 
-PER_FILE, FANOUT = 1024, 16
+PER_FILE, FANOUT, NULL_FILES = 1024, 16, 4096
 _CRLF = "\r\n"
 _END = _CRLF + _CRLF
 
@@ -45,13 +46,22 @@ def record(page: Column, url: Column, body: Column) -> Column:
     return F.concat_ws(_CRLF, *lines)
 
 
+def _drawn(sha: Column, at: int) -> Column:
+    """A number below 16 ** 8 from eight digits of a hash."""
+    return F.conv(F.substring(sha, at, 8), 16, 10).cast("long")
+
+
+def _file_no(page: Column, sha: Column, per_file: int) -> Column:
+    return F.coalesce(F.floor(page.cast("long") / per_file), -1 - _drawn(sha, 1) % NULL_FILES)
+
+
 def catalogue(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html", per_file: int = PER_FILE) -> DataFrame:
     """(page_id, file_no, slot, start_offset, length, copies, sha): where each distinct record is and what it hashes to."""
     whole = F.concat(record(F.col(page), F.col(url), F.col(body)), F.lit(_END))
     made = pages.select(F.col(page).cast("long").alias("page_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha"))
     made = made.groupBy("page_id", "length", "sha").agg(F.count("*").alias("copies"))
-    made = made.withColumn("file_no", F.coalesce(F.floor(F.col("page_id") / per_file), F.lit(-1))).withColumn("slot", F.coalesce(F.pmod("page_id", F.lit(per_file)), F.lit(0)))
-    order = Window.partitionBy("file_no").orderBy("page_id", "sha")
+    made = made.withColumn("file_no", _file_no(F.col("page_id"), F.col("sha"), per_file)).withColumn("slot", F.coalesce(F.pmod("page_id", F.lit(per_file)), _drawn(F.col("sha"), 9) % per_file))
+    order = Window.partitionBy("file_no").orderBy("page_id", "sha", "length")
     before = F.sum(F.col("length") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return made.select("page_id", "file_no", "slot", F.coalesce(before, F.lit(0)).alias("start_offset"), "length", "copies", "sha")
 
@@ -67,6 +77,7 @@ def tree(records: DataFrame, fanout: int = FANOUT) -> dict[str, DataFrame]:
     start = F.min("start_offset").over(Window.partitionBy("file_no", "low"))
     placed = placed.withColumn("inside", F.col("start_offset") - start)
     low = placed.groupBy("file_no", "high", "low").agg(_digest(["page_id", "sha"], F.concat_ws(":", "inside", "length", "copies", "sha")))
+    low = materialize(low, "low")  # every level above comes from it, and the audit reads it again
     high = low.groupBy("file_no", "high").agg(_digest(["low"], F.concat_ws(":", "low", "hash")))
     root = high.groupBy("file_no").agg(_digest(["high"], F.concat_ws(":", "high", "hash")))
     return {"low": low, "high": high, "root": root}
@@ -80,13 +91,13 @@ def _differing(left: DataFrame, right: DataFrame, keys: list[str], above: DataFr
     return both.where(~F.col("hash").eqNullSafe(F.col("other"))).select(*keys)
 
 
-def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(page_id, file_no, sha, damage) of the damaged records of two catalogues.
+def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT, trees: tuple[dict[str, DataFrame], dict[str, DataFrame]] | None = None) -> DataFrame:
+    """(page_id, file_no, sha, damage) of the damaged records of two catalogues, whose trees may be given.
 
     damage: ``changed`` (the id is there with other content), ``missing`` (on the right), ``extra`` (on the right),
     ``copies`` (their number differs).
     """
-    a, b = tree(left, fanout), tree(right, fanout)
+    a, b = trees or (tree(left, fanout), tree(right, fanout))
     bad = _differing(a["root"], b["root"], ["file_no"], None)
     bad = _differing(a["high"], b["high"], ["file_no", "high"], bad)
     bad = materialize(_differing(a["low"], b["low"], ["file_no", "high", "low"], bad).select("file_no", "low"), "ranges")
@@ -106,18 +117,15 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def fixity(left: DataFrame, right: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """The left catalogue with the root of each record's file and its damage in the right one (``none``: it is whole)."""
-    found = audit(left, right, fanout).where("damage != 'extra'").select("page_id", "sha", "damage")
-    out = left.alias("l").join(found.alias("d"), F.col("l.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("l.sha") == F.col("d.sha")), "left")
-    out = out.join(tree(left, fanout)["root"].select(F.col("file_no").alias("of"), F.col("hash").alias("root_sha256")), F.col("l.file_no") == F.col("of"))
-    return out.select("l.page_id", "l.file_no", "l.start_offset", "l.length", "l.copies", F.col("l.sha").alias("record_sha256"), "root_sha256", F.coalesce("d.damage", F.lit("none")).alias("damage"))
-
-
-def damaged_replica(pages: DataFrame, page: str = "page_id", body: str = "html") -> DataFrame:
-    """A replica with planted faults, by the MD5 of the id: one body in 256 has its first character replaced, one is lost."""
-    drawn = F.substring(F.md5(F.coalesce(F.col(page).cast("string"), F.lit(""))), 1, 2)
-    hurt = F.when(drawn == "00", F.concat(F.lit("~"), F.substr(F.col(body), F.lit(2)))).otherwise(F.col(body))
-    return pages.where(drawn != "01").select(*[hurt.alias(c) if c == body else F.col(f"`{c}`") for c in pages.columns])
+    """The left catalogue with the root of each record's file and its damage in the right one (``none``: it is whole), and
+    the records that only the right one has (``extra``), placed as there; the root of a file that the left one lacks is null."""
+    trees = tree(left, fanout), tree(right, fanout)
+    found = materialize(audit(left, right, fanout, trees).select("page_id", "file_no", "sha", "damage"), "damage")
+    same = lambda d: F.col("l.page_id").eqNullSafe(F.col(f"{d}.page_id")) & (F.col("l.sha") == F.col(f"{d}.sha"))
+    out = left.alias("l").join(found.where("damage != 'extra'").alias("d"), same("d"), "left").select("l.*", F.coalesce("d.damage", F.lit("none")).alias("damage"))
+    extra = right.alias("l").join(found.where("damage = 'extra'").alias("d"), same("d")).select("l.*", "d.damage")
+    out = out.unionByName(extra).join(trees[0]["root"].select("file_no", F.col("hash").alias("root_sha256")), "file_no", "left")
+    return out.select("page_id", "file_no", "start_offset", "length", "copies", F.col("sha").alias("record_sha256"), "root_sha256", "damage")
 
 
 def report(pages: DataFrame, replica: DataFrame, **how) -> DataFrame:
@@ -128,43 +136,72 @@ def report(pages: DataFrame, replica: DataFrame, **how) -> DataFrame:
 def write(pages: DataFrame, path: str, page: str = "page_id", url: str = "url", body: str = "html", per_file: int = PER_FILE) -> None:
     """Write WARC files, a folder for each file number, whose bytes are those that ``catalogue`` tells of."""
     text = record(F.col(page), F.col(url), F.col(body)).alias("value")
-    file_no = F.coalesce(F.floor(F.col(page) / per_file), F.lit(-1)).alias("file_no")
-    rows = pages.select(file_no, F.col(page).alias("page"), F.sha2(F.concat(text, F.lit(_END)), 256).alias("sha"), text)
+    sha = F.sha2(F.concat(text, F.lit(_END)), 256)
+    rows = pages.select(_file_no(F.col(page), sha, per_file).alias("file_no"), F.col(page).alias("page"), sha.alias("sha"), text)
     rows.repartition("file_no").sortWithinPartitions("file_no", "page", "sha").select("file_no", "value").write.partitionBy("file_no").option("lineSep", _END).text(path)
 
 
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.DOTALL)
+
+
+def records(raw: bytes) -> Iterator[tuple[int, str | None, str | None, str | None]]:
+    """(offset, url, body, fault) of the records of a file; bytes that are no UTF-8 become replacement characters.
+
+    A record without a header, without a length, or cut off ends the file: it is told with its fault and no body.
+    """
+    at = 0
+    while at < len(raw):
+        m = _HEAD.match(raw, at)
+        if m is None:
+            yield at, None, None, "no header"
+            return
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in m[1].split(b"\r\n"))}
+        url = fields.get(b"warc-target-uri", b"").decode(errors="replace")
+        size = fields.get(b"content-length", b"")
+        if not size.isdigit():
+            yield at, url, None, "no length"
+            return
+        end = m.end() + int(size)
+        if end > len(raw):
+            yield at, url, None, "cut off"
+            return
+        yield at, url, raw[m.end() : end].decode(errors="replace"), None
+        at = end + len(_END)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start_offset, url, body) of the records of WARC files; a file is read by one task."""
-    head = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.DOTALL)
+    """(file, start_offset, url, body, fault) of the records of WARC files.
+
+    A file is read by one task as one value, so it must be below 2 GB; ``PER_FILE`` keeps those of ``write`` far below.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, raw in zip(b["path"], b["content"], strict=True):
-                out, at = [], 0
-                while m := head.match(raw, at):
-                    fields = dict(x.split(b": ", 1) if b": " in x else (x.rstrip(b":"), b"") for x in m[1].split(b"\r\n"))
-                    end = m.end() + int(fields[b"Content-Length"])
-                    out.append((file, at, fields.get(b"WARC-Target-URI", b"").decode(), raw[m.end() : end].decode()))
-                    at = end + len(_END)
-                yield pd.DataFrame(out, columns=["file", "start_offset", "url", "body"])
+                yield pd.DataFrame([(file, *r) for r in records(raw)], columns=["file", "start_offset", "url", "body", "fault"]).astype({"start_offset": "int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0)
-    return files.select("path", "content").mapInPandas(parse, "file string, start_offset long, url string, body string")
-
-
-ORACLE = """
-WITH drawn AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id::VARCHAR), 1, 2) AS drawn FROM pages
+    return files.select("path", "content").mapInPandas(parse, "file string, start_offset long, url string, body string, fault string")
+
+
+_CUT = "substr(md5(page_id::VARCHAR), 1, 2)"
+_RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10)"
+#: The report of ``pages`` against the replica of the registered query.
+ORACLE = f"""
+WITH own AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, {_CUT} AS drawn FROM pages
+), sides AS (
+  SELECT 'l' AS side, * FROM own
+  UNION ALL SELECT 'r', page_id, url, CASE WHEN drawn = '00' THEN '~' || substr(html, 2) ELSE html END, drawn FROM own WHERE drawn <> '01'
+  UNION ALL SELECT 'r', page_id, url, 'extra', 'x' FROM own WHERE drawn = '02'
 ), told AS (
-  SELECT page_id, floor(page_id / 1024)::BIGINT AS file_no, (page_id % 1024) AS slot, drawn,
-    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM drawn
+  SELECT side, page_id, floor(page_id / 1024)::BIGINT AS file_no, (page_id % 1024) AS slot, drawn, {_RECORD} AS record FROM sides
 ), hashed AS (
-  SELECT page_id, file_no, slot, strlen(record)::BIGINT AS length, sha256(record) AS sha, drawn, count(*) AS copies FROM told GROUP BY ALL
+  SELECT side, page_id, file_no, slot, strlen(record)::BIGINT AS length, sha256(record) AS sha, drawn, count(*) AS copies FROM told GROUP BY ALL
 ), placed AS (
-  SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY file_no ORDER BY page_id, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM hashed
+  SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY side, file_no ORDER BY page_id, sha ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_offset FROM hashed
 ), inside AS (
-  SELECT *, slot // 16 AS low, slot // 256 AS high, start_offset - min(start_offset) OVER (PARTITION BY file_no, slot // 16) AS inside FROM placed
+  SELECT *, slot // 16 AS low, slot // 256 AS high, start_offset - min(start_offset) OVER (PARTITION BY file_no, slot // 16) AS inside FROM placed WHERE side = 'l'
 ), lows AS (
   SELECT file_no, high, low, sha256(string_agg(inside || ':' || length || ':' || copies || ':' || sha, '|' ORDER BY page_id, sha)) AS hash FROM inside GROUP BY ALL
 ), highs AS (
@@ -173,6 +210,6 @@ WITH drawn AS (
   SELECT file_no, sha256(string_agg(high || ':' || hash, '|' ORDER BY high)) AS root_sha256 FROM highs GROUP BY ALL
 )
 SELECT page_id, file_no, start_offset, length, copies, sha AS record_sha256, root_sha256,
-  CASE drawn WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' ELSE 'none' END AS damage
-FROM inside JOIN roots USING (file_no)
+  CASE WHEN side = 'r' THEN 'extra' WHEN drawn = '00' THEN 'changed' WHEN drawn = '01' THEN 'missing' ELSE 'none' END AS damage
+FROM placed LEFT JOIN roots USING (file_no) WHERE side = 'l' OR drawn = 'x'
 """
