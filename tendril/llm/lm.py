@@ -15,7 +15,8 @@ Counts cover all learned texts. The words counted at least as often as a thresho
 the tasks with their counts; the occurrences of all other words are joined with the table of counts. No word is dropped.
 
 Defined results: a null text is an empty one (an end alone); a null id is learned from, as its remainder isn't 1; repeated
-rows count each; with no learned text the score comes from the untrained model and the base score is 0.
+rows count each; with no learned text the score comes from the untrained model and the base score is 0. Replicas follow
+the partitions of the table, so a table laid out in other files gets slightly other parameters and scores.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -263,14 +265,35 @@ def normalisers(docs: DataFrame, p: dict[str, np.ndarray]) -> np.ndarray:
     return np.array([r.z for r in sorted(rows, key=lambda r: r.v)], np.float32)
 
 
+@dataclass
+class Model:
+    """The table of counts, what is known of frequent words and slots, the parameters, and the normalisers' logarithms."""
+
+    counts: DataFrame
+    lexicon: Lexicon
+    parameters: dict[str, np.ndarray]
+    normalisers: np.ndarray
+
+
+def learn(texts: DataFrame, frequent: int = FREQUENT, rounds: int = ROUNDS) -> Model:
+    """Learn from a table with one column, ``text``, without nulls."""
+    counts = materialize(token_counts(texts), "counts")
+    lex = lexicon(counts, frequent)
+    p = train(texts, lex, F.xxhash64("text"), rounds)
+    return Model(counts, lex, p, normalisers(texts, p))
+
+
 def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document, learned from those not held out."""
+    learned = docs.where(~held_out(F.col(doc))).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return apply(docs, learn(learned, frequent, rounds), doc, text)
+
+
+def apply(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``score`` by a model at hand."""
     texts = docs.select(F.col(doc).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    learned = texts.where("not held_out")
-    counts = materialize(token_counts(learned.select("text")), "counts")
-    lex = lexicon(counts, frequent)
-    p = train(learned.select("text"), lex, F.xxhash64("text"), rounds)
-    sent = docs.sparkSession.sparkContext.broadcast((lex, p, normalisers(docs, p)))
+    counts, lex = model.counts, model.lexicon
+    sent = docs.sparkSession.sparkContext.broadcast((lex, model.parameters, model.normalisers))
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "model", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
