@@ -4,7 +4,8 @@ Words are the runs of digits, letters a-z (A-Z lower-cased) and characters beyon
 stand consecutively. ``BASE`` phrases give the base labels; ``NOTICES`` and identifier tags add the method's labels. What
 follows ``SPDX-License-Identifier:`` on its line is an expression over licence ids with ``and``, ``or``, ``with`` and
 parentheses; it gives the labels of its ids, and is allowed if an allow-list satisfies it (all sides of an ``and``, one
-of an ``or``; ``with`` binds an exception to its licence). A malformed expression gives no labels and isn't allowed.
+of an ``or``; ``with`` binds an exception to its licence). A malformed expression, or one with an id that no start of the
+public list fits, gives no labels and isn't allowed.
 
 score is 1 - product of (1 - weight) over the distinct pieces of evidence, 0 without any.
 
@@ -47,8 +48,15 @@ NOTICES = {
     "creative commons attribution noncommercial 4 0 international": "cc-by-nc",
 }
 TAG = "spdx license identifier"
-#: The start of an id, lower-cased, and its label; the longest start counts.
-IDS = ("mit", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "bsd", "isc", "unlicense", "cc0", "cc-by", "cc-by-sa", "cc-by-nc")
+# The starts of the public list's licence ids, lower-cased, which are their labels; the longest start counts.
+# What follows ``licenseref`` is a licence of one's own.
+IDS = (
+    "mit", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "bsd", "isc", "unlicense", "cc0", "cc-by", "cc-by-sa", "cc-by-nc",
+    "0bsd", "afl", "apsl", "artistic", "blueoak", "bsl", "busl", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-pddc", "cddl", "cecill",
+    "cpl", "curl", "ecl", "efl", "elastic", "eupl", "ftl", "gfdl", "hpnd", "icu", "ijg", "ipl", "json", "libpng", "licenseref", "lppl",
+    "ms-pl", "ms-rl", "mulanpsl", "ncsa", "nposl", "odbl", "odc-by", "ofl", "ogl", "openssl", "osl", "pddl", "php", "postgresql",
+    "psf", "python", "qpl", "ruby", "sleepycat", "sspl", "tcl", "unicode", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl",
+)
 ALLOWED = ("mit", "apache", "bsd", "isc", "unlicense", "cc0", "cc-by")
 WEIGHT_BASE, WEIGHT_NOTICE, WEIGHT_TAG, WEIGHT_MALFORMED = 0.6, 0.8, 0.95, 0.3
 
@@ -57,11 +65,16 @@ _PART = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def label(licence: str) -> str:
-    """The label of a licence id; an unknown id is its own, lower-cased."""
+def label(licence: str) -> str | None:
+    """The label of a licence id, None if the list has none that starts so."""
     low = licence.lower()
     fits = [x for x in IDS if low == x or low.startswith((x + "-", x + "+"))]
-    return max(fits, key=len, default=low)
+    return max(fits, key=len, default=None)
+
+
+def known(parts: list[str]) -> bool:
+    """Whether all licences of a postfix expression are on the list; exceptions are free."""
+    return all(p in _PRECEDENCE or parts[k + 1 : k + 2] == ["with"] or label(p) for k, p in enumerate(parts))
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -159,6 +172,8 @@ def scan_text(raw: bytes, machine: ahocorasick.Automaton, allowed: frozenset[str
     fine: list[bool] = []
     for m in _TAG_LINE.findall(raw) if tagged else ():
         parts = postfix(m.decode(errors="replace"))
+        if parts and not known(parts):
+            parts = None
         ok, own = evaluate(parts, allowed) if parts else (False, set())
         fine.append(ok)
         labels |= own
