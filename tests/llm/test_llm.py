@@ -134,6 +134,37 @@ def test_lm_is_normalised(spark):
     assert np.exp(h @ p["Q"].T + p["bias"] - z[1, 0]).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("frequent", [200_000, 40])
+def test_lm_score_from_its_parameters(spark, small, frequent):
+    """Scores against sums over all slots, by hand, from counts of our own."""
+    some = small.select("doc_id", "text").where("doc_id < 60").unionByName(spark.createDataFrame([(900, None), (901, "never seen wordzz"), (902, "The the THE")], "doc_id long, text string"))
+    learned = [r.text or "" for r in some.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    c = Counter(w for t in learned for w in words(lower(t)) + [b""])
+    model = lm.learn(spark.createDataFrame([(t,) for t in learned], "text string"), frequent)
+    own = {w: k for k, w in enumerate(model.lexicon.words[: lm.WORD_SLOTS])}
+    assert model.lexicon.words[0] == b"" and all(model.lexicon.words[k] in c for k in range(len(own)))
+    suffix = lambda w: lm.WORD_SLOTS + zlib.crc32(w[-3:]) % lm.SUFFIX_SLOTS
+    slot = lambda w: own.get(w, suffix(w))
+    size, kinds = Counter(), Counter()
+    for w, n in c.items():
+        if w not in own:
+            size[suffix(w)] += n
+            kinds[suffix(w)] += 1
+    p = {k: x.astype(float) for k, x in model.parameters.items()}
+    got = {r.doc_id: r.score for r in lm.apply(some, model).collect()}
+    for r in some.collect():
+        u = v = 0
+        want = 0.0
+        for w in words(lower(r.text)) + [b""]:
+            s = (p["a"] * p["R"][v] + p["b"] * p["R"][u]) @ p["Q"].T + p["bias"]
+            top = s.max()
+            want += (s[slot(w)] - top - math.log(np.exp(s - top).sum())) / math.log(10)
+            if w not in own:
+                want += math.log10((c[w] + 0.5) / (size[suffix(w)] + 0.5 * (kinds[suffix(w)] + 1)))
+            u, v = v, slot(w)
+        assert got[r.doc_id] == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_lm_of_nothing(empty, docs):
     assert lm.score(empty).count() == 0
     assert lm.score(docs).count() == docs.count()
@@ -228,6 +259,46 @@ def test_quality_verdict(spark):
     assert sum(bad) <= 0.2 * len(bad)
 
 
+def distance(p, q):
+    """Jensen-Shannon, base 2, of two dicts of counts."""
+    p, q = ({k: n / sum(x.values()) for k, n in x.items() if n} if sum(x.values()) else {} for x in (p, q))
+    m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    return math.sqrt(max(0, sum(x * math.log2(x / m[k]) for y in (p, q) for k, x in y.items()) / 2))
+
+
+def char_class(c):
+    if c in " \t\n\v\f\r":
+        return "space"
+    if not c.isascii():
+        return "beyond"
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "mark" if c in ".,;:!?'\"()-" else "symbol" if c in "#*$%&|<>" else "other"
+
+
+def test_quality_distances(spark, small, docs):
+    """Distances and verdicts of every document against references counted by hand."""
+    both = small.select("doc_id", "text", "lang").unionByName(docs.select("doc_id", "text", "lang")).unionByName(spark.createDataFrame([(7000, "no language here " * 40, None), (7001, "x", "xx")], "doc_id long, text string, lang string"))
+    rows = both.collect()
+    chars, tokens = {}, {}
+    for r in rows:
+        if r.lang is not None and r.text is not None:
+            chars.setdefault(r.lang, Counter()).update(map(char_class, r.text))
+            tokens.setdefault(r.lang, Counter()).update(words(lower(r.text)))
+    refs = {}
+    for lang, c in tokens.items():
+        if c:
+            common = dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON])
+            refs[lang] = chars[lang], common, {**common, None: sum(c.values()) - sum(common.values())}
+    assert len(refs) >= 5
+    got = sorted((str(r.doc_id), r.text or "", r.char_js, r.word_js, r.base_failed, r.kept, r.n_words, r.word_chars) for r in quality.judge(both).select("row.doc_id", "row.text", "char_js", "word_js", "base_failed", "kept", "n_words", "word_chars").collect())
+    assert len(got) == len(rows)
+    for _, text, char_js, word_js, failed, kept, n, size in got:
+        own = Counter(words(lower(text)))
+        want_char = min(distance(Counter(map(char_class, text)), x[0]) for x in refs.values())
+        want_word = min(distance({**{w: own[w] for w in x[1]}, None: sum(own.values()) - sum(own[w] for w in x[1])}, x[2]) / max(1e-9, distance({None: 1}, x[2])) for x in refs.values())
+        assert char_js == pytest.approx(want_char, abs=1e-6) and word_js == pytest.approx(want_word, abs=1e-6)
+        assert kept == (not failed and not (size >= 300 and char_js > 0.30) and not (n >= 80 and word_js > 0.95))
+
+
 def test_quality_of_many_languages(spark):
     """The last of 70 languages is known by its own words too."""
     rows = [(f"l{k:02}", " ".join(f"{w}{k:02}" for w in ("ba", "ce", "di", "fo") for _ in range(30 + (k < 69)))) for k in range(70)]
@@ -410,6 +481,32 @@ def test_langid(spark, docs, empty):
     assert {r.lang_pred for r in langid.report(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_decisions(spark, small):
+    """Each decision by hand from the machines' weights: family first, then a vote of the family's pairs."""
+    texts = small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(5000, "\u00e9\u4e2d", None), (5001, None, "en"), (5002, "12 34", "en"), (5003, "the und les THE", "de")], "doc_id long, text string, lang string"))
+    model = langid.fit(texts)
+    assert len(model.langs) >= 4
+    for r in langid.predict(texts, model).collect():
+        raw = "".join(" " if c.isascii() and not c.isalpha() else c for c in lower(r.row.text)).encode()
+        if not any(c.isalpha() for c in r.row.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        x = np.zeros(langid.DIMENSIONS)
+        grams = [g for k in range(len(raw)) if (g := (b" " + raw + b" ")[k : k + 3]) != b"   "]
+        for g in grams:
+            x[(int.from_bytes(g, "little") * 0x9E3779B1 % (1 << 32)) >> 19] += 1
+        m = np.sqrt(x / len(grams)) @ model.weights[:-1] + model.weights[-1]
+        f = max(range(len(model.families)), key=lambda k: (m[model.of_family[k]], -k))
+        best = None
+        for a in model.members[f]:
+            duels = [m[model.of_pair[a, b]] if a < b else -m[model.of_pair[b, a]] for b in model.members[f] if b != a]
+            rank = (sum(d > 0 for d in duels), sum(duels), a)
+            if best is None or rank > best[0]:
+                best = rank, a, min([*duels, m[model.of_family[f]]])
+        assert r.lang_pred == model.langs[best[1]]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-2 * min(30, max(-30, best[2])))), abs=1e-4)
+
+
 def test_langid_of_many_languages(spark):
     words_of = [["".join(random.Random(f"{k} {j}").choices("abcdefghijklmnopqrstuvwxyz", k=6)) for j in range(8)] for k in range(64)]
     rows = [(k * 10 + j, " ".join(ws), f"x{k:02}") for k, ws in enumerate(words_of) for j in range(6)]
@@ -487,6 +584,94 @@ def test_licenses(spark, docs, small, empty):
     assert licenses.report(empty).count() == 0
 
 
+def read_expression(said):
+    """(value, labels) of an expression by recursive descent; ValueError if it is malformed."""
+    parts = re.findall(r"[()]|[A-Za-z0-9.+:_-]+", said)
+    at = 0
+
+    def peek():
+        return parts[at].lower() if at < len(parts) and parts[at] != "--" else ""
+
+    def operand():
+        nonlocal at
+        if peek() in ("", ")", "and", "or", "with"):
+            raise ValueError
+        at += 1
+        if parts[at - 1] == "(":
+            found = either()
+            if peek() != ")":
+                raise ValueError
+            at += 1
+        else:
+            name = licenses.label(parts[at - 1])
+            if name is None:
+                raise ValueError
+            found = name in licenses.ALLOWED, {name}
+        if peek() == "with":
+            at += 1
+            if peek() in ("", "(", ")", "and", "or", "with"):
+                raise ValueError
+            at += 1
+        return found
+
+    def chain(one, word, join):
+        nonlocal at
+        value, names = one()
+        while peek() == word:
+            at += 1
+            other, more = one()
+            value, names = join(value, other), names | more
+        return value, names
+
+    def either():
+        return chain(lambda: chain(operand, "and", lambda a, b: a and b), "or", lambda a, b: a or b)
+
+    out = either()
+    if peek():
+        raise ValueError
+    return out
+
+
+def test_license_labels_and_scores(spark):
+    """Labels, scores and verdicts of mixed texts against regular expressions and a recursive parser."""
+    rng = random.Random(11)
+    ids = ["MIT", "Apache-2.0", "GPL-3.0-or-later", "LGPL-2.1+", "CC-BY-NC-4.0", "Zlib", "nonsense", "LicenseRef-own"]
+    phrases = list(licenses.BASE) + list(licenses.NOTICES)
+
+    def expression(depth=0):
+        x = rng.random()
+        if depth > 2 or x < 0.4:
+            return rng.choice(ids) + (" WITH Some-exception" if rng.random() < 0.2 else "")
+        y = f"{expression(depth + 1)} {rng.choice(['AND', 'or', 'OR'])} {expression(depth + 1)}"
+        return f"({y})" if x < 0.7 else y + rng.choice(["", "", "", " )", " AND"])
+
+    texts = []
+    for _ in range(300):
+        pieces = [rng.choice(["some words", "mit", "license", rng.choice(phrases).upper(), rng.choice(phrases).replace(" ", ", "), f"\n# SPDX-License-Identifier: {expression()} -->\n", f"\nspdx-license-identifier:{expression()}\n"]) for _ in range(rng.randint(0, 6))]
+        texts.append(" ".join(pieces))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan(df).select("row.text", "labels", "score", "allowed").collect():
+        said = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r.text))) + " "
+        names, weights, values = set(), {}, []
+        for kind, table in (("base", licenses.BASE), ("notice", licenses.NOTICES)):
+            for phrase, name in table.items():
+                if f" {phrase} " in said:
+                    names.add(name)
+                    weights[kind, phrase] = 0.6 if kind == "base" else 0.8
+        for line in re.findall(r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)", r.text):
+            try:
+                value, own = read_expression(line)
+                names |= own
+                weights["tag", str(licenses.postfix(line))] = 0.95
+            except ValueError:
+                value = False
+                weights["tag", "None"] = 0.3
+            values.append(value)
+        assert set(r.labels) == names
+        assert r.score == pytest.approx(1 - math.prod(1 - w for w in weights.values()))
+        assert r.allowed == (all(values) if values else names <= set(licenses.ALLOWED) if names else None)
+
+
 @pytest.mark.parametrize(("said", "parts"), [("MIT", ["MIT"]), ("a OR b AND c", ["a", "b", "c", "and", "or"]), ("(a or b) and c", ["a", "b", "or", "c", "and"]), ("a with x or b", ["a", "x", "with", "b", "or"]), ("a b", None), ("(a", None), ("or a", None), ("", None), ("MIT -->", ["MIT"])])
 def test_expressions(said, parts):
     assert licenses.postfix(said) == parts
