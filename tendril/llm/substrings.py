@@ -249,6 +249,7 @@ def covered(texts: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     equal = told.where("known").drop("known").unionByName(rest.select(*[c for c in told.columns if c != "known"]))
 
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("different"), F.min("n").alias("least")).where("different > 1 and least = 1")
+    open_ = materialize(open_, "open")  # so that Spark can split a hot anchor's rows in the join
     wanted = kinds.join(open_, "anchor").select("one.t1", "one.t2", F.struct("anchor", (F.col("n") == 1).alias("once"), (F.col("different") > hot).alias("hot"), "one.start", "one.size").alias("x"))
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list("x").alias("asked"))
     # Copies of a text are one here, so that no fragment is cut twice and its bytes are shuffled once.
