@@ -127,24 +127,26 @@ def test_lm_base_and_counts(spark, small, docs, frequent):
 
 def test_lm_is_normalised(spark):
     own = [(b"", 5), (b"a", 3), (b"b", 2)]
-    lex = lm.Lexicon(own, {lm._suffix_slot(w) - lm.WORD_SLOTS: (n, 1) for w, n in own}, 10, 3)
+    lex = lm.Lexicon(own, {lm._suffix(w): (n, 1) for w, n in own}, 10, 3)
     p = lm.initial(lex)
     z = lm.normalisers(spark.range(1), p)
     h = p["a"] * p["R"][1] + p["b"] * p["R"][0]
     assert np.exp(h @ p["Q"].T + p["bias"] - z[1, 0]).sum() == pytest.approx(1, abs=1e-4)
 
 
-@pytest.mark.parametrize("frequent", [200_000, 40])
-def test_lm_score_from_its_parameters(spark, small, frequent):
+@pytest.mark.parametrize(("frequent", "slot_count"), [(200_000, 1000), (200_000, 2), (40, 1000)])
+def test_lm_score_from_its_parameters(spark, small, frequent, slot_count):
     """Scores against sums over all slots, by hand, from counts of our own."""
     some = small.select("doc_id", "text").where("doc_id < 60").unionByName(spark.createDataFrame([(900, None), (901, "never seen wordzz"), (902, "The the THE")], "doc_id long, text string"))
     learned = [r.text or "" for r in some.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
     c = Counter(w for t in learned for w in words(lower(t)) + [b""])
-    model = lm.learn(spark.createDataFrame([(t,) for t in learned], "text string"), frequent)
-    own = {w: k for k, w in enumerate(model.lexicon.words[: lm.WORD_SLOTS])}
-    assert model.lexicon.words[0] == b"" and all(model.lexicon.words[k] in c for k in range(len(own)))
-    suffix = lambda w: lm.WORD_SLOTS + zlib.crc32(w[-3:]) % lm.SUFFIX_SLOTS
-    slot = lambda w: own.get(w, suffix(w))
+    model = lm.learn(spark.createDataFrame([(t,) for t in learned], "text string"), frequent, slot_count=slot_count)
+    own = {w: k for k, w in enumerate(model.lexicon.words[: model.lexicon.own])}
+    assert model.lexicon.words[0] == b"" and all(w in c for w in own)
+    assert frequent == 40 or {w for w, n in c.items() if n >= slot_count} <= set(own) and len(own) >= lm.CONTEXT_WORDS
+    suffix = lambda w: zlib.crc32(w[-3:]) % lm.SUFFIX_SLOTS
+    slot = lambda w: own.get(w, len(own) + suffix(w))
+    context = lambda w: own[w] if own.get(w, lm.CONTEXT_WORDS) < lm.CONTEXT_WORDS else lm.CONTEXT_WORDS + suffix(w)
     size, kinds = Counter(), Counter()
     for w, n in c.items():
         if w not in own:
@@ -161,7 +163,7 @@ def test_lm_score_from_its_parameters(spark, small, frequent):
             want += (s[slot(w)] - top - math.log(np.exp(s - top).sum())) / math.log(10)
             if w not in own:
                 want += math.log10((c[w] + 0.5) / (size[suffix(w)] + 0.5 * (kinds[suffix(w)] + 1)))
-            u, v = v, slot(w)
+            u, v = v, context(w)
         assert got[r.doc_id] == pytest.approx(want, rel=1e-4, abs=1e-3)
 
 
