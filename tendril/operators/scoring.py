@@ -89,19 +89,23 @@ def partner_route(weaknesses: DataFrame, partners: DataFrame, keep: tuple[str, .
 
 
 def concat_chunks(chunks: DataFrame, by: list[str], separator: str = "\n\n") -> DataFrame:
-    """(by, body): the texts of each group in the order of chunk_index."""
+    """(by, body, n_chunks): the texts of each group in the order of chunk_index. A body is one value: where a group has no
+    bound, group by parts of its places too."""
     rows = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
-    return chunks.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x["content"]), separator).alias("body"))
+    return chunks.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x["content"]), separator).alias("body"), F.count("*").alias("n_chunks"))
 
 
 def notice_body(chunks: DataFrame, n: int = 6000) -> DataFrame:
-    """(notice_id, body): all texts of a notice, cut; null if empty. Only texts that can reach the cut are gathered."""
+    """(notice_id, body): all texts of a notice, cut; null if empty. Only texts that can reach the cut are gathered, and the
+    places are counted from lengths alone."""
     order = Window.partitionBy("notice_id").orderBy("chunk_index")
-    before = F.coalesce(F.sum(F.length("content") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum(F.col("size") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = chunks.select("notice_id", "chunk_index", F.length("content").alias("size"))
     # A text that starts just behind the cut brings the separator before it, which may lie inside.
-    near = chunks.withColumn("_before", before).where(F.col("_before") < n + 2).drop("_before")
+    near = sizes.withColumn("before", before).where(F.col("before") < n + 2).select("notice_id", "chunk_index")
+    texts = chunks.select("notice_id", "chunk_index", F.substring("content", 1, n).alias("content")).join(near, ["notice_id", "chunk_index"])
     notices = chunks.select("notice_id").distinct()
-    return notices.join(concat_chunks(near, ["notice_id"]), "notice_id", "left").select("notice_id", preview(F.col("body"), n).alias("body"))
+    return notices.join(concat_chunks(texts, ["notice_id"]), "notice_id", "left").select("notice_id", preview(F.col("body"), n).alias("body"))
 
 
 def criterion_prompt(criteria: DataFrame, ranked: DataFrame, projects: DataFrame, most_projects: int = 50) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import numbered
+
 TOPICS = ("en", "fr")
 
 
@@ -23,11 +25,15 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("notice_id"), index.alias("chunk_index"), F.col("lang").alias("l_topic"), F.col("text").alias("content"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return docs.join(vectors, "chunk_id", "left")
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True, indexed: bool = False) -> DataFrame:
+    """(chunk_id, notice_id, l_topic, content[, embedding][, chunk_index]); the index is counted without the texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("notice_id"), F.col("lang").alias("l_topic"), F.col("text").alias("content"))
+    if indexed:
+        places = numbered(docs.select("notice_id", "chunk_id"), ["chunk_id"], "place", "notice_id")
+        docs = docs.join(places.select("chunk_id", (F.col("place") - 1).cast("int").alias("chunk_index")), "chunk_id")
+    if vectors:
+        docs = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+    return docs
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def rubric_classify(spark, sf_dir):
 
 @query("rubric_text", _RSQL + ", ch AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT ch.source AS notice_id, coalesce(string_agg(ch.text, chr(10) || chr(10) ORDER BY i) FILTER (a >= 1 AND gate AND NOT dis), 'template') AS rubric, count(*) FILTER (a >= 1 AND gate AND NOT dis) AS n_chunks FROM ch JOIN c USING (doc_id) GROUP BY 1")
 def rubric_text(spark, sf_dir):
-    return scoring.rubric_text(domain.chunks(spark, sf_dir), "template", _RUBRIC)
+    return scoring.rubric_text(domain.chunks(spark, sf_dir, vectors=False, indexed=True), "template", _RUBRIC)
 
 
 _DRAFT = classify.DraftTerms(direct=("license", "general public"), project=("estion", "mentation", "tionque"), generic=("the", "und", "que"))
@@ -138,7 +138,7 @@ def partner_route(spark, sf_dir):
 
 @query("label_reuse", with_("chunks", "relevance") + "SELECT c.notice_id, c.chunk_id, coalesce(grade::VARCHAR, '') AS chunk_relevance FROM chunks c LEFT JOIN relevance r ON c.notice_id = r.notice_id AND c.chunk_id = r.chunk_id")
 def label_reuse(spark, sf_dir):
-    return labels.reuse(domain.chunks(spark, sf_dir).select("notice_id", "chunk_id"), domain.relevance(spark, sf_dir), ["notice_id", "chunk_id"])
+    return labels.reuse(domain.chunks(spark, sf_dir, vectors=False).select("notice_id", "chunk_id"), domain.relevance(spark, sf_dir), ["notice_id", "chunk_id"])
 
 
 @query("label_conflicts", with_("relevance") + "SELECT notice_id, count(DISTINCT grade) AS grades FROM relevance GROUP BY 1 HAVING count(DISTINCT grade) <> 1")
@@ -150,7 +150,7 @@ def label_conflicts(spark, sf_dir):
 def label_orphans(spark, sf_dir):
     i = F.col("chunk_id")
     rows = domain.relevance(spark, sf_dir).select((i + F.when(i % 5 == 0, 1_000_000).otherwise(0)).alias("chunk_id"), F.when(i % 7 == 0, "other").otherwise(F.col("notice_id")).alias("notice_id"))
-    return labels.orphans(rows, domain.chunks(spark, sf_dir), TOPICS)
+    return labels.orphans(rows, domain.chunks(spark, sf_dir, vectors=False), TOPICS)
 
 
 @query("case_violations", "WITH n AS (SELECT lang AS case_id, source AS notice_id FROM documents GROUP BY ALL), nl AS (SELECT lang AS case_id, source AS notice_id, (max(quality) * 5 - min(toxic))::INT AS grade FROM documents JOIN labels USING (doc_id) GROUP BY ALL), cl AS (SELECT lang AS case_id, CASE WHEN doc_id % 50 = 0 THEN 'other' ELSE source END AS notice_id, quality * 2 + 1 - toxic AS grade FROM documents JOIN labels USING (doc_id)) SELECT case_id, notice_id, 'unlabelled' AS fault FROM n WHERE (case_id, notice_id) NOT IN (SELECT (case_id, notice_id) FROM nl) UNION SELECT case_id, notice_id, 'not listed' FROM cl WHERE (case_id, notice_id) NOT IN (SELECT (case_id, notice_id) FROM n) UNION SELECT case_id, notice_id, 'grade' FROM nl WHERE grade NOT BETWEEN 0 AND 3 UNION SELECT case_id, NULL, 'fewer than two' FROM n GROUP BY 1 HAVING count(*) < 2")

@@ -215,8 +215,9 @@ def feed_select(spark, sf_dir):
 
 @query("feed_flatten", "SELECT source AS page, doc_id AS item_id, lang AS title FROM documents")
 def feed_flatten(spark, sf_dir):
+    """Envelopes of 500 ids or fewer of a source."""
     item = F.struct(F.col("doc_id").alias("item_id"), F.col("lang").alias("title"))
-    pages = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("page")).agg(F.struct(F.struct(F.collect_list(item).alias("items")).alias("body")).alias("response"))
+    pages = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("page"), F.floor(F.col("doc_id") / feed.PAGE_ROWS)).agg(F.struct(F.struct(F.collect_list(item).alias("items")).alias("body")).alias("response"))
     return feed.items(pages).select("page", "item.item_id", "item.title")
 
 

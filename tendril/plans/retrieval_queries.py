@@ -69,21 +69,21 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 @query("bm25_topk", _sql("SELECT query_id, notice_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm_all) WHERE rank <= 10", _BM25))
 def bm25_topk(spark, sf_dir):
-    chunks, targets = _chunks_targets(spark, sf_dir)
+    chunks, targets = domain.chunks(spark, sf_dir, vectors=False), _targets(spark, sf_dir)
     scored = lexical.search(lexical.build_index(chunks), fusion.query_texts(targets))
     return _long(lexical.top(scored, 10, ["query_id"]), "rank").select("query_id", "notice_id", "chunk_id", "score", "rank")
 
 
 @query("bm25_topn_per_notice", _sql("SELECT query_id, notice_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, notice_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 100", _BM25, {"bm": _SCOPED["bm"]}))
 def bm25_topn_per_notice(spark, sf_dir):
-    chunks, targets = _chunks_targets(spark, sf_dir)
+    chunks, targets = domain.chunks(spark, sf_dir, vectors=False), _targets(spark, sf_dir)
     scored = lexical.search(lexical.build_index(chunks), fusion.query_texts(targets), topics=TOPICS)
     return _long(lexical.top(scored, 100, ["query_id", "notice_id"]), "rank").select("query_id", "notice_id", "chunk_id", "score", "rank")
 
 
 @query("bm25_terms", _sql("SELECT term, n FROM df", {k: _BM25[k] for k in ("toks", "tf", "df")}, names=("chunks",)))
 def bm25_terms(spark, sf_dir):
-    return lexical.build_index(domain.chunks(spark, sf_dir)).terms
+    return lexical.build_index(domain.chunks(spark, sf_dir, vectors=False)).terms
 
 
 @query("cosine_similarity", _sql("SELECT chunk_id, ordinal, distance FROM dist_all", _DENSE))
@@ -211,7 +211,7 @@ def unembedded_chunks(spark, sf_dir):
 
 @query("json_topic_filter", with_("chunks") + "SELECT chunk_id, l_topic FROM chunks WHERE l_topic IN ('en', 'fr')")
 def json_topic_filter(spark, sf_dir):
-    meta = domain.chunks(spark, sf_dir).select("chunk_id", F.to_json(F.struct("l_topic")).alias("metadata"))
+    meta = domain.chunks(spark, sf_dir, vectors=False).select("chunk_id", F.to_json(F.struct("l_topic")).alias("metadata"))
     topic = F.get_json_object("metadata", "$.l_topic")
     return meta.where(topic.isin(*TOPICS)).select("chunk_id", topic.alias("l_topic"))
 

@@ -67,16 +67,17 @@ def token_sha256(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("concat_by_topic", with_("chunks") + "SELECT notice_id, l_topic, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS body_sha256, count(*) AS n_chunks FROM chunks GROUP BY 1, 2")
+@query("concat_by_topic", with_("chunks") + "SELECT notice_id, l_topic, (chunk_index // 256)::INT AS part_no, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS body_sha256, count(*) AS n_chunks FROM chunks GROUP BY ALL")
 def concat_by_topic(spark, sf_dir):
-    chunks = domain.chunks(spark, sf_dir)
-    counts = chunks.groupBy("notice_id", "l_topic").agg(F.count("*").alias("n_chunks"))
-    return scoring.concat_chunks(chunks, ["notice_id", "l_topic"]).join(counts, ["notice_id", "l_topic"]).select("notice_id", "l_topic", F.sha2("body", 256).alias("body_sha256"), "n_chunks")
+    """In ordered parts of 256 places, so that a large notice is no single value."""
+    parts = domain.chunks(spark, sf_dir, vectors=False, indexed=True).withColumn("part_no", F.floor(F.col("chunk_index") / 256).cast("int"))
+    found = scoring.concat_chunks(parts, ["notice_id", "l_topic", "part_no"])
+    return found.select("notice_id", "l_topic", "part_no", F.sha2("body", 256).alias("body_sha256"), "n_chunks")
 
 
 @query("notice_body", with_("chunks") + "SELECT notice_id, nullif(substr(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 1, 6000), '') AS body FROM chunks GROUP BY 1")
 def notice_body(spark, sf_dir):
-    return scoring.notice_body(domain.chunks(spark, sf_dir))
+    return scoring.notice_body(domain.chunks(spark, sf_dir, vectors=False, indexed=True))
 
 
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents), big AS (SELECT *, trim(line) AS t, NOT (length(trim(line)) < 200 AND NOT contains(line, '<table>')) AS big FROM lines), ats AS (SELECT *, sum(big::INT) OVER w - big::INT AS pos, sum(big::INT) OVER (PARTITION BY doc_id) AS n FROM big WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)), placed AS (SELECT *, pos = n AS tail, least(pos, n - 1) AS place FROM ats WHERE n > 0)"
@@ -96,7 +97,7 @@ def token_windows(spark, sf_dir):
 
 @query("chunk_index", with_("chunks") + "SELECT notice_id, chunk_id, chunk_index FROM chunks")
 def chunk_index(spark, sf_dir):
-    return domain.chunks(spark, sf_dir).select("notice_id", "chunk_id", "chunk_index")
+    return domain.chunks(spark, sf_dir, vectors=False, indexed=True).select("notice_id", "chunk_id", "chunk_index")
 
 
 @query("chunk_status", "SELECT d.doc_id, count(line) AS n_chunks, CASE WHEN count(line) = 0 THEN 'ERROR' ELSE 'CHUNKED' END AS parse_status FROM documents d LEFT JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) l ON d.doc_id = l.doc_id AND length(line) >= 200 GROUP BY 1")
@@ -166,7 +167,7 @@ def embed_chunks(spark, sf_dir):
 @query("criterion_prompt", with_("chunks", first="SELECT notice_id, chunk_id, content, row_number() OVER (PARTITION BY notice_id ORDER BY chunk_id) AS rank FROM chunks") + "SELECT f.notice_id AS criterion_id, '[criterion]' || chr(10) || 'name=' || f.notice_id || chr(10) || 'description=d' || chr(10) || 'max_score=10' || chr(10) || chr(10) || '[chunks]' || chr(10) || string_agg('- chunk_id=' || chunk_id || ': ' || content, chr(10) ORDER BY rank) || chr(10) || chr(10) || '[projects]' || chr(10) || any_value(p.lines) AS prompt FROM first f, (SELECT string_agg('- project_id=' || item_id || ' title=' || text, chr(10) ORDER BY item_id) AS lines FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 50)) p WHERE rank <= 5 GROUP BY 1")
 def criterion_prompt(spark, sf_dir):
     order = Window.partitionBy("notice_id").orderBy("chunk_id")
-    ranked = domain.chunks(spark, sf_dir).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(F.col("notice_id").alias("criterion_id"), "chunk_id", "rank", "content")
+    ranked = domain.chunks(spark, sf_dir, vectors=False).withColumn("rank", F.row_number().over(order)).where("rank <= 5").select(F.col("notice_id").alias("criterion_id"), "chunk_id", "rank", "content")
     criteria = ranked.select("criterion_id").distinct().select("criterion_id", F.lit(1).alias("company_id"), F.col("criterion_id").alias("name"), F.lit("d").alias("description"), F.lit("10").alias("max_score"))
     projects = table(spark, sf_dir, "benchmark").select(F.lit(1).alias("company_id"), F.col("item_id").alias("project_id"), F.col("text").alias("title"))
     return scoring.criterion_prompt(criteria, ranked, projects)

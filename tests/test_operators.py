@@ -89,6 +89,9 @@ def test_numbered(spark):
     df = spark.createDataFrame([(k * 7 % 100, "x") for k in range(100)], "k int, v string").repartition(5)
     assert {(r.k, r.place) for r in numbered(df, [F.desc("k")], "place").collect()} == {(k, 100 - k) for k in range(100)}
     assert numbered(df.limit(0), ["k"], "place").count() == 0
+    grouped = spark.createDataFrame([("ab"[k % 2] if k < 90 else None, k) for k in range(100)], "g string, k int").repartition(7)
+    got = sorted((r.g or "", r.k, r.place) for r in numbered(grouped, ["k"], "place", "g").collect())
+    assert got == sorted([("ab"[k % 2], k, k // 2 + 1) for k in range(90)] + [("", k, k - 89) for k in range(90, 100)])
 
 
 @pytest.mark.parametrize("size", [4, 7, 8, 9, 10, 11])
