@@ -123,23 +123,47 @@ def _hash_word(word: bytes) -> int:
     return int(slice_hash(range_sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([len(word)]))[0])
 
 
+def _repeat_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """Words in windows that a text holds twice or more. Windows are matched by hash, then held against each other word by
+    word; a text with windows of one hash and other words is counted by the words alone."""
+    if len(starts) < WINDOW:
+        return np.zeros(n, np.int64)
+    h = run_hash(slice_hash(range_sums(data), starts, ends), WINDOW)
+    whole = np.flatnonzero(texts[: len(h)] == texts[WINDOW - 1 :])
+    h = h[whole] ^ mix(texts[whole].astype(np.uint64))
+    order = np.argsort(h, kind="stable")
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[order[1:]] == h[order[:-1]]
+    twice = whole[order[same[1:] | same[:-1]]]
+    cover = np.bincount(twice, minlength=len(starts) + 1) - np.bincount(twice + WINDOW, minlength=len(starts) + 1)[: len(starts) + 1]
+    out = np.bincount(texts[np.cumsum(cover)[:-1] > 0], minlength=n)
+    after = np.flatnonzero(same[1:-1]) + 1  # places in the order whose window has the hash of the one before
+    one, two = whole[order[after - 1]], whole[order[after]]
+    apart = texts[one] != texts[two]
+    size = ends - starts
+    for k in range(WINDOW):
+        apart |= size[one + k] != size[two + k]
+    for k in range(WINDOW):
+        i = np.flatnonzero(~apart)
+        length = size[one[i] + k]
+        step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        differs = data[np.repeat(starts[one[i] + k], length) + step] != data[np.repeat(starts[two[i] + k], length) + step]
+        apart[i[np.unique(np.repeat(np.arange(len(i)), length)[differs])]] = True
+    for t in np.unique(texts[np.concatenate([one[apart], two[apart]])]).tolist():
+        own = np.flatnonzero(texts == t)
+        said = [data[s:e].tobytes() for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+        runs = [tuple(said[k : k + WINDOW]) for k in range(len(said) - WINDOW + 1)]
+        count = Counter(runs)
+        out[t] = len({j for k, x in enumerate(runs) if count[x] > 1 for j in range(k, k + WINDOW)})
+    return out
+
+
 def _measure(data: np.ndarray, off: np.ndarray, refs: dict, known: np.ndarray) -> dict[str, np.ndarray]:
     n = len(off) - 1
     cls = _classes(data, off)
     starts, ends, texts = word_bounds(SPACED[data], off)
     out = {"n_words": np.bincount(texts, minlength=n), "word_chars": cls.sum(1) - cls[:, _INSIDE] - cls[:, _SPACE], "n_symbols": cls[:, _SYMBOL]}
-    word = slice_hash(range_sums(data), starts, ends)
-    out["n_repeat_words"] = np.zeros(n, np.int64)
-    if len(word) >= WINDOW:
-        h = run_hash(word, WINDOW)
-        whole = np.flatnonzero(texts[: len(h)] == texts[WINDOW - 1 :])
-        h = h[whole] ^ mix(texts[whole].astype(np.uint64))
-        order = np.argsort(h, kind="stable")
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[order[1:]] == h[order[:-1]]
-        twice = whole[order[same[1:] | same[:-1]]]
-        cover = np.bincount(twice, minlength=len(word) + 1) - np.bincount(twice + WINDOW, minlength=len(word) + 1)[: len(word) + 1]
-        out["n_repeat_words"] = np.bincount(texts[np.cumsum(cover)[:-1] > 0], minlength=n)
+    out["n_repeat_words"] = _repeat_words(data, starts, ends, texts, n)
     out["char_js"], out["word_js"] = np.zeros(n), np.zeros(n)
     if refs:
         chars = cls[:, :_INSIDE].astype(float)
