@@ -261,6 +261,20 @@ def test_quality_verdict(spark):
     assert sum(bad) <= 0.2 * len(bad)
 
 
+@pytest.mark.parametrize("bits", [64, 3, 0])
+def test_repeated_windows_by_their_words(bits, monkeypatch):
+    """Also where hashes of windows collide."""
+    real = quality.run_hash
+    monkeypatch.setattr(quality, "run_hash", lambda h, n: real(h, n) & np.uint64((1 << bits) - 1))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") + rng.choice(["", "c"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    raw = "".join(texts).encode()
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(raw, np.uint8)
+    found = quality._repeat_words(data, *quality.word_bounds(data, off), len(texts))
+    assert found.tolist() == [measured(t)[4] for t in texts]
+
+
 def distance(p, q):
     """Jensen-Shannon, base 2, of two dicts of counts."""
     p, q = ({k: n / sum(x.values()) for k, n in x.items() if n} if sum(x.values()) else {} for x in (p, q))
