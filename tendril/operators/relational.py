@@ -135,3 +135,10 @@ def patch(rows: DataFrame, changes: DataFrame, key: str, sent: list[str], vector
 def at_places(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Zip two tables by their explicit ordinals; a place that one side lacks is an error of the caller's."""
     return left.join(right, by, "inner")
+
+
+def concat_branches(branches: list[DataFrame], key: str, order: str = "pos", item: str = "item") -> DataFrame:
+    """(key, items): what parallel branches (key, pos, item) found for each key, branch after branch in the order given."""
+    rows = reduce(DataFrame.unionByName, [b.withColumn("_branch", F.lit(k)) for k, b in enumerate(branches)])
+    found = F.array_sort(F.collect_list(F.struct("_branch", order, item)))
+    return rows.groupBy(key).agg(F.transform(found, lambda x: x[item]).alias("items"))

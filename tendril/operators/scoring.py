@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import preview
+from ..providers import Provider, complete
 from .classify import Rubric, rubric
 
 CANDIDATES, RETURNED, CITED = 10, 5, 5
@@ -108,6 +109,12 @@ def notice_body(chunks: DataFrame, n: int = 6000) -> DataFrame:
     return notices.join(concat_chunks(texts, ["notice_id"]), "notice_id", "left").select("notice_id", preview(F.col("body"), n).alias("body"))
 
 
+def summary(bodies: DataFrame, provider: Provider, most: int = 100) -> DataFrame:
+    """(notice_id, summary): what a model says of each body, cut; null where there is no body."""
+    told = complete(bodies.where("body is not null"), provider, "body", "answer")
+    return bodies.select("notice_id").join(told.select("notice_id", preview(F.col("answer"), most).alias("summary")), "notice_id", "left")
+
+
 def criterion_prompt(criteria: DataFrame, ranked: DataFrame, projects: DataFrame, most_projects: int = 50) -> DataFrame:
     """(criterion_id, prompt): a criterion with its chunks and the company's projects.
 

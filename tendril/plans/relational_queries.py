@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
-from ..sources import feed
+from ..sources import feed, files, tables
 from ..streaming import feeds
 from . import domain
 from .domain import table, with_
@@ -229,3 +229,30 @@ def status_changes(spark, sf_dir):
 @query("progress_monotone", with_("progress", epochs="SELECT *, sum((current = 0)::INT) OVER (PARTITION BY set_id ORDER BY ts, event_id) AS epoch FROM progress") + "SELECT set_id, event_id, current, greatest(max(current) OVER (PARTITION BY set_id, epoch ORDER BY ts, event_id), 0) AS progress FROM epochs")
 def progress_monotone(spark, sf_dir):
     return feeds.monotone(domain.progress(spark, sf_dir), "set_id", ["ts", "event_id"], "current").select("set_id", "event_id", "current", "progress")
+
+
+@query("embedded_flag", "SELECT doc_id, vec_id IS NOT NULL AND doc_id % 3 <> 0 AS embedded FROM documents LEFT JOIN embeddings ON vec_id = doc_id")
+def embedded_flag(spark, sf_dir):
+    """Whether a row has a vector; one row in three is taken to have lost it."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(vectors, "doc_id", "left").select("doc_id", F.col("embedding").isNotNull().alias("embedded"))
+
+
+@query("branch_concat", "SELECT o_custkey AS key, string_agg(said, ',' ORDER BY branch, o_orderkey) AS said FROM (SELECT o_custkey, o_orderkey, 0 AS branch, o_orderstatus AS said FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT o_custkey, o_orderkey, 1, o_orderpriority FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def branch_concat(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("pos"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+    branches = [rows.where("o_totalprice > 100000").select("key", "pos", F.col("o_orderstatus").alias("item")), rows.where("o_orderstatus = 'F'").select("key", "pos", F.col("o_orderpriority").alias("item"))]
+    return R.concat_branches(branches, "key").select("key", F.array_join("items", ",").alias("said"))
+
+
+@query("append_ids", "SELECT 1000 + row_number() OVER (ORDER BY c_custkey) AS id, c_custkey AS company_id, c_name AS name FROM customer")
+def append_ids(spark, sf_dir):
+    """Rows that are appended behind a greatest stored id of 1000."""
+    came = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"))
+    return tables.with_ids(spark.createDataFrame([(7,), (1000,)], "id long"), came, ["company_id"])
+
+
+@query("sse_events", with_("progress") + "SELECT event_id, 'data: ' || to_json(struct_pack(set_id := set_id, status := status, current := current)) || chr(10) || chr(10) AS event FROM progress")
+def sse_events(spark, sf_dir):
+    rows = domain.progress(spark, sf_dir).select("event_id", "set_id", "status", "current")
+    return files.sse(rows, ["event_id"])

@@ -80,6 +80,13 @@ def notice_body(spark, sf_dir):
     return scoring.notice_body(domain.chunks(spark, sf_dir, vectors=False, indexed=True))
 
 
+@query("notice_summary", with_("chunks") + "SELECT notice_id, substr(sha256(body), 1, 10) AS summary FROM (SELECT notice_id, nullif(substr(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index), 1, 6000), '') AS body FROM chunks GROUP BY 1)")
+def notice_summary(spark, sf_dir):
+    """What the stand-in model says of each notice's body, cut to ten characters."""
+    bodies = scoring.notice_body(domain.chunks(spark, sf_dir, vectors=False, indexed=True))
+    return scoring.summary(bodies, providers.HashProvider(), 10)
+
+
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_no FROM documents), big AS (SELECT *, trim(line) AS t, NOT (length(trim(line)) < 200 AND NOT contains(line, '<table>')) AS big FROM lines), ats AS (SELECT *, sum(big::INT) OVER w - big::INT AS pos, sum(big::INT) OVER (PARTITION BY doc_id) AS n FROM big WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)), placed AS (SELECT *, pos = n AS tail, least(pos, n - 1) AS place FROM ats WHERE n > 0)"
 
 

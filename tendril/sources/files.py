@@ -63,9 +63,10 @@ def fill(template: str, values: dict[str, str]) -> str:
     return template
 
 
-def sse(rows: DataFrame) -> DataFrame:
-    """(event): server-sent events of rows, one each."""
-    return rows.select(F.concat(F.lit("data: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("event"))
+def sse(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, event): server-sent events of rows, one each, of the columns that are no keys; nulls are told."""
+    told = [c for c in rows.columns if c not in (keys or [])]
+    return rows.select(*(keys or []), F.concat(F.lit("data: "), F.to_json(F.struct(*told), {"ignoreNullFields": "false"}), F.lit("\n\n")).alias("event"))
 
 
 def label_context(cases: DataFrame, methods: list[str], pool_k: int, scope: str = "pooled_candidates") -> DataFrame:

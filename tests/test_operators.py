@@ -12,7 +12,7 @@ from tendril.functions import text as X
 from tendril.functions.chunk_values import INVENTORY
 from tendril.functions.ordinals import numbered
 from tendril.operators import aggregate, chunking, classify, dense, fusion, labels, lexical, metrics, relational, scoring
-from tendril.sources import feed, files
+from tendril.sources import feed, files, tables
 from tendril.streaming import feeds
 
 
@@ -417,3 +417,15 @@ def test_pages_until_the_end(spark):
     for pages, want in (([page(1, 3), page(2, 3), page(3, 3)], [1, 2]), ([page(1, 3), page(2, 0), page(3, 3)], [1]), ([page(1, 3), page(2, 3, "x")], [1]), ([page(1, 3, total=0), page(2, 3, total=0)], [1]), ([page(1, 0)], [])):
         df = spark.createDataFrame(pages, "page int, n_items int, error string, total long")
         assert [r.page for r in feed.until_end(df).orderBy("page").collect()] == want
+
+
+def test_tables_bootstrap_and_append(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    assert set(tables.bootstrap(spark, folder)) == set(tables.TABLES) and tables.bootstrap(spark, folder) == []
+    one = tables.append(spark, folder, "partners", spark.createDataFrame([(1, "b"), (1, "a")], "company_id long, name string"), ["name"])
+    assert rows(one, "id") == [(1, 1, "a"), (2, 1, "b")]
+    tables.append(spark, folder, "partners", spark.createDataFrame([(2, "c")], "company_id long, name string"), ["name"])
+    got = tables.load(spark, folder, "partners")
+    assert rows(got.select("id", "company_id", "name", "email"), "id") == [(1, 1, "a", None), (2, 1, "b", None), (3, 2, "c", None)]
+    wider = tables.TABLES | {"partners": tables.TABLES["partners"] + ", phone string"}
+    assert tables.load(spark, folder, "partners", wider).where("phone is null").count() == 3
