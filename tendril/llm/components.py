@@ -27,9 +27,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of all nodes that are not the least of their component; component: the least node.
 
-    Each round is written to the shared folder, which bounds the lineage. Nodes of either end must not be null.
+    Each round is written to the shared folder, which bounds the lineage. An edge from a node to itself, or with a null end, joins nothing.
     """
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
+    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.col(a).isNotNull() & F.col(b).isNotNull()).toDF("a", "b", "both").where("both and a != b").select("a", "b").distinct()
     now = materialize(now, "edges")
     state = _state(now)
     while state[0]:
