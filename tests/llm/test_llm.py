@@ -477,7 +477,7 @@ def test_links_are_complete(spark, tile, rows):
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 50), (51, None), (None, None)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 140)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
@@ -796,6 +796,21 @@ def test_pipeline(spark, small):
     assert all(list(got[i].ids) == t.encode(texts[i], add_special_tokens=False).ids for i in left)
 
 
+def test_stages_of_odd_rows(spark, docs):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, and columns with the stages' own names."""
+    import corpus_pipeline
+
+    plain = [f"{w} and some more words of a plain text, number {k} of a few, told in a line of its own" for k, w in enumerate(("one", "two", "three", "four"))]
+    more = spark.createDataFrame([(50, plain[0]), (50, plain[1]), (50, plain[1]), (None, plain[2]), (None, plain[2]), (51, plain[3]), (None, None), (52, "")], "doc_id long, text string")
+    now = docs.unionByName(more, allowMissingColumns=True).withColumns({"n_chars": F.lit(1).cast("long"), "t": F.lit(1), "s": F.lit(2), "hits": F.lit(3), "clean": F.lit("x"), "_1": F.lit(4)})
+    names = now.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, SF)
+        assert k == 4 or now.columns == names
+    got = Counter((r.doc_id, r.n_tokens > 0) for r in now.collect())
+    assert got[50, True] == 2 and got[51, True] == 1 and got[None, True] == 2 and got[52, True] == got[52, False] == 0
+
+
 def test_stages_of_an_empty_table(spark, empty):
     import corpus_pipeline
 
