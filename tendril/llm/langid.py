@@ -29,7 +29,7 @@ from .arrow_text import blocks
 
 DIMENSIONS, PER_LANGUAGE, MAX_TRAIN = 1 << 13, 600, 4800
 #: Strength of the margin against the size of the weights, and rounds of descent.
-COST, ROUNDS = 20.0, 100
+COST, ROUNDS, TOGETHER = 20.0, 100, 16
 
 # Language codes by family; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -77,15 +77,25 @@ def _has_letter(raw: bytes) -> bool:
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights that part y = 1 from y = -1; the last column of x is 1, and its weight the bias."""
-    weight = cost / np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())).astype(np.float32)
-    w = before = np.zeros(x.shape[1], np.float32)
-    rate = 1 / (1 + 2 * float(weight @ np.einsum("ij,ij->i", x, x)))
-    for k in range(rounds):
-        ahead = w + (k / (k + 3)) * (w - before)
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        before, w = w, ahead - rate * (ahead - 2 * x.T @ (weight * slack * y))
-    return w
+    """Weights (a column a machine) that part the rows with y = 1 from those with y = -1; rows with y = 0 take no part.
+
+    The last column of x is 1, and its weight the bias. Machines are trained ``TOGETHER`` at a time, so that these share each
+    pass over x.
+    """
+    out = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    square = np.einsum("ij,ij->i", x, x)
+    for lo in range(0, y.shape[1], TOGETHER):
+        own = y[:, lo : lo + TOGETHER].astype(np.float32)
+        share = lambda side: side * (cost / np.maximum(1, side.sum(0)))
+        weight = (share(own > 0) + share(own < 0)).astype(np.float32)
+        rate = (1 / (1 + 2 * (square @ weight))).astype(np.float32)
+        w = before = np.zeros((x.shape[1], own.shape[1]), np.float32)
+        for k in range(rounds):
+            ahead = w + (k / (k + 3)) * (w - before)
+            slack = np.maximum(0, 1 - own * (x @ ahead))
+            before, w = w, ahead - rate * (ahead - 2 * (x.T @ (weight * slack * own)))
+        out[:, lo : lo + TOGETHER] = w
+    return out
 
 
 class Model:
@@ -96,19 +106,18 @@ class Model:
         group = np.array([family(x) for x in langs])
         self.families = sorted(set(group.tolist()))
         self.members = [[k for k, x in enumerate(self.langs) if family(x) == f] for f in self.families]
-        columns: list[np.ndarray] = []
+        sides: list[np.ndarray] = []
         self.of_family: list[int] = []
         for f in self.families if len(self.families) > 1 else ():
-            self.of_family.append(len(columns))
-            columns.append(svm(x, np.where(group == f, 1, -1).astype(np.float32)))
+            self.of_family.append(len(sides))
+            sides.append(np.where(group == f, 1, -1))
         self.of_pair: dict[tuple[int, int], int] = {}
         for members in self.members:
             for i, a in enumerate(members):
                 for b in members[i + 1 :]:
-                    both = (lang == self.langs[a]) | (lang == self.langs[b])
-                    self.of_pair[a, b] = len(columns)
-                    columns.append(svm(x[both], np.where(lang[both] == self.langs[a], 1, -1).astype(np.float32)))
-        self.weights = np.stack(columns, 1) if columns else np.zeros((DIMENSIONS + 1, 0), np.float32)
+                    self.of_pair[a, b] = len(sides)
+                    sides.append((lang == self.langs[a]).astype(int) - (lang == self.langs[b]))
+        self.weights = svm(x, np.stack(sides, 1)) if sides else np.zeros((DIMENSIONS + 1, 0), np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the languages, scores between 0 and 1)."""
