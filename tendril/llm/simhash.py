@@ -371,10 +371,11 @@ def near_links(texts: DataFrame, nodes: DataFrame, shingle: int = NEAR_SHINGLE,
     texts: (t, text); nodes: (s, fp, size, bands, t), where t names a text with the shingle set s. Sets are cut for those
     rows alone that have a partner within the radius; a pair is compared in the bucket of the first band it agrees in.
     """
-    dealt = nodes.where("size > 0").select("s", "fp", "size", "t", "bands", F.posexplode("bands").alias("k", "v"))
-    # Written, so that the join shuffles two tables and Spark can split a hot bucket's rows.
+    dealt = nodes.where("size > 0").select("s", F.posexplode("bands").alias("k", "v"))
+    # Written, so that the join shuffles two tables and Spark can split a hot bucket's rows. What a bucket's rows need besides
+    # their keys is joined to the few that share one.
     full = materialize(dealt.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    rows = dealt.join(full, ["k", "v"]).withColumn("parts", F.ceil(F.col("n") / bucket_rows).cast("int"))
+    rows = dealt.join(full, ["k", "v"]).join(nodes.select("s", "fp", "size", "t", "bands"), "s").withColumn("parts", F.ceil(F.col("n") / bucket_rows).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("s", F.lit(7)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("k", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "s", "fp", "size", "t", "bands")
