@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, line_dedup, lm, quality, simhash, substrings, warc
+from . import bpe, centroids, decontaminate, langid, licenses, line_dedup, lm, quality, simhash, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_substrings": op9_substrings,
     "op10_licenses": op10_licenses,
+    "op11_centroids": op11_centroids,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op6_warc_fixity": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op6_warc_fixity": warc.ORACLE, "op11_centroids": centroids.ORACLE}
