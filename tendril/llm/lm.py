@@ -90,6 +90,7 @@ class Lexicon:
             ordered.insert(0, (_END, 0))
         self.words = [w for w, _ in ordered]
         c = np.array([n for _, n in ordered], float)
+        self.met = c > 0
         self.total, self.distinct = total, distinct
         self.base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         # At least as many as there are contexts of words, whatever the counts.
@@ -141,7 +142,7 @@ def lexicon(counts: DataFrame, frequent: int = FREQUENT, slot_count: int = SLOT_
         least = r.c
     else:
         least = 1
-    rows = counts.where(F.col("c") >= least).select("word", "c").toArrow() if levels and (have <= frequent or least > 1) else None
+    rows = counts.where((F.col("c") >= least) | (F.col("word") == F.lit(_END))).select("word", "c").toArrow() if levels and (have <= frequent or least > 1) else None
     words = list(zip(*(rows.column(k).to_pylist() for k in ("word", "c")), strict=True)) if rows is not None else []
     return Lexicon(words, {r.k: (r.n, r.v) for r in by_suffix}, sums.n or 0, sums.v, slot_count)
 
@@ -348,7 +349,7 @@ def apply(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
                 c = code[at]
                 often = c >= 0
                 n = np.bincount(own, minlength=hi - lo)
-                known = np.bincount(own[often], minlength=hi - lo)
+                known = np.bincount(own[often & lex.met[np.maximum(c, 0)]], minlength=hi - lo)
                 base = np.bincount(own[often], lex.base[c[often]], hi - lo)
                 inner = np.bincount(own[often], lex.inner[c[often]], hi - lo)
                 rare = [Counter() for _ in found]

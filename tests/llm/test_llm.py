@@ -170,6 +170,9 @@ def test_lm_score_from_its_parameters(spark, small, frequent, slot_count):
 def test_lm_of_nothing(empty, docs):
     assert lm.score(empty).count() == 0
     assert lm.score(docs).count() == docs.count()
+    held = docs.where(lm.held_out(F.col("doc_id"))).limit(3)
+    for r in lm.score(held).collect():
+        assert (r.held_out, r.n_known, r.train_tokens) == (True, 0, 0) and r.n_tokens > 0
 
 
 # 3
