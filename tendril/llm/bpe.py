@@ -12,9 +12,8 @@ Texts pass the vocabulary's normaliser (NFC, lower case; white space only parts
 strings of special tokens in a text are taken as these tokens, as the tokenizers library does by default.
 
 Defined results: a null text is encoded as an empty one, without tokens; no token is ever unknown
-(all 256 bytes are in the vocabulary). Extra columns pass through inside ``row``. Code points that Unicode 15.1 assigns
-give the library's ids, alone and in sequences of marks; those it leaves unassigned may be parted into words otherwise, as
-the library's tables are of other versions.
+(all 256 bytes are in the vocabulary). Extra columns pass through inside ``row``. All code points give the library's ids:
+where its tables of letters, capitals and compositions are of other Unicode versions than Python's, the difference is fixed here.
 """
 
 from __future__ import annotations
@@ -32,14 +31,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import classes
 from .arrow_text import blocks
 
-#: Words of the pre-tokenizer; all else is dropped.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: The same for texts of Latin-1 without the superscripts and fractions, which are numbers but no digits: the standard
-#: library's expressions are several times as fast.
-LATIN_WORDS = r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\t-\r \x85\xa0\w]|_)+"
-_FRACTIONS = re.compile("[²³¹¼½¾]")
+#: Words of the pre-tokenizer; all else is dropped. Letters and numbers are those of Unicode 16.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Added to the code of the byte that ends a word.
 END = 0x400
 #: Words and pairs that a task remembers, and the characters of the longest such word.
@@ -55,6 +51,12 @@ NEWER_MARKS = (
     (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF),
     (0x1E4EC, 0x1E4EF),
 )
+# Capitals of Unicode 16 and 17 (first, last, distance of the small letter), which Python's tables may not know.
+NEWER_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -0xA567), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, -0xA641), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27),
+)
+_SMALL = {c: c + d for a, b, d in NEWER_CAPITALS for c in range(a, b + 1)}
 _NEWER = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_MARKS) + "])")
 
 
@@ -111,16 +113,6 @@ class _Words(dict):
         return found
 
 
-def _is_latin(text: str) -> bool:
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 def composed(text: str) -> str:
     """NFC by the tables of the tokenizers library; nothing of Latin-1 changes."""
     if _NEWER.search(text) is None:
@@ -143,8 +135,8 @@ class Encoder:
             self.shorter[i] = next((by_text[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in by_text), None)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words = _Words(self.word)
-        self.find = regex.compile(WORDS).findall
-        self.find_latin = re.compile(LATIN_WORDS).findall
+        self.find = classes.finder(WORDS).findall
+        self.find_latin = classes.finder(WORDS, True).findall
         self.split = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
 
     def _keeps_boundary(self, left: int, right: int) -> bool:
@@ -206,10 +198,10 @@ class Encoder:
                 at -= length[token]
 
     def _plain(self, text: str) -> Iterator[int]:
-        if not _is_latin(text):
-            text = composed(text).replace("Σ", "σ")
+        if not classes.is_latin(text):
+            text = composed(text).replace("Σ", "σ").translate(_SMALL)
         text = text.lower()
-        found = self.find_latin(text) if _is_latin(text) and _FRACTIONS.search(text) is None else self.find(text)
+        found = self.find_latin(text) if classes.is_latin(text) else self.find(text)
         return chain.from_iterable(map(self.words.__getitem__, found))
 
     def encode(self, text: str) -> np.ndarray:
