@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.chunk_values import INVENTORY
 from ..functions.storage import shared_dir
 from ..operators import chunking, fusion, scoring
+from ..sources import markup
 from ..streaming import feeds
 from . import domain
 from .domain import table, tok, with_
@@ -137,6 +138,19 @@ def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.slice_headers(docs, heads)
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages, each with a table of its address woven in: the pages have none."""
+    cells = F.concat(F.lit("<table><tr><th>page<th>url<tr><td>"), F.col("page_id").cast("string"), F.lit("<td>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</table>"))
+    return table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</article>"), F.concat(cells, F.lit("</article>"))))
+
+
+@query("page_markdown")
+def page_markdown(spark, sf_dir):
+    """Whole pages as Markdown, their pipe tables as HTML: what chunking reads on."""
+    found = markup.parse(_pages(spark, sf_dir)).withColumnRenamed("markdown", "content")
+    return chunking.md_tables(found).select("page_id", "parse_status", "char_count", (F.size(F.split("content", "<table>")) - 1).alias("n_tables"), "content")
+
+
 @query("slice_headers")
 def slice_headers(spark, sf_dir):
     return _sliced(spark, sf_dir)
