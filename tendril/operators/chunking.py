@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,16 +61,16 @@ def slice_headers(docs: DataFrame, headers: DataFrame, doc: str = "doc_id", text
     headers: (doc, ord, exact_header, l_topic, s_topic). Nothing counts before one of the first two headers. Table lines
     are opaque; lines that look like a table of contents are never headers; of several headers that fit the first counts.
     """
-    clean = lambda c: F.replace(F.regexp_replace(F.regexp_replace(c, "^([가-하a-zA-Z0-9]+[\\.\\)\\]](?U:\\s*))", ""), "^#+(?U:\\s*)", ""), F.lit(" "), F.lit(""))
+    clean = lambda c: F.replace(F.regexp_replace(F.regexp_replace(c, V.NUMBER, ""), V.SIGNS, ""), F.lit(" "), F.lit(""))
     heads = headers.select(F.col(doc), "ord", clean(F.col("exact_header")).alias("key"), F.col("l_topic").alias("hl"), F.col("s_topic").alias("hs")).where("key != ''")
     heads = heads.withColumn("early", F.row_number().over(Window.partitionBy(doc).orderBy("ord")) <= 2)
     order = Window.partitionBy(doc).orderBy("line_no")
-    lines = _lines(docs, [doc], text).withColumn("clean", strip(F.regexp_replace("line", "^#+(?U:\\s*)", "")))
+    lines = _lines(docs, [doc], text).withColumn("clean", strip(F.regexp_replace("line", V.SIGNS, "")))
     opens, closes = F.contains("clean", F.lit("<table>")), F.contains("clean", F.lit("</table>")) & ~F.contains("clean", F.lit("<table>"))
     last = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(order)
     lines = lines.withColumn("opaque", F.coalesce(last, F.lit(False)) | closes | (F.col("clean") == ""))
-    bare = F.replace(F.regexp_replace("clean", "\\(.*?\\)|\\[.*?\\]|託.*?〕|〈.*?〉", ""), F.lit(" "), F.lit(""))
-    toc = F.col("clean").rlike("(?U)\\.{2,}|·{2,}|\\s+\\d+\\s*$")
+    bare = F.replace(F.regexp_replace("clean", V.ASIDE, ""), F.lit(" "), F.lit(""))
+    toc = F.col("clean").rlike(V.LEADERS)
     lines = lines.withColumns({"bare": bare, "may": ~F.col("opaque") & ~toc})
     fits = (F.col("may")) & F.contains("bare", F.col("key")) & (F.length("bare") <= F.length("key") + 6)
     hits = lines.select(doc, "line_no", "bare", "may").join(heads, doc).where(fits).groupBy(doc, "line_no").agg(F.min(F.struct("ord", "hl", "hs", "early")).alias("head"))
@@ -110,43 +109,31 @@ def merge_tiny(chunks: DataFrame, doc: str = "doc_id", order: str = "chunk_no",
 
 
 def refine(chunks: DataFrame, keys: list[str], text: str = "content", patterns: Sequence[tuple[str, str]] = V.BULLETS) -> DataFrame:
-    """(keys, part_no, top_bullet, content): chunks cut at the kind of bullet they use, at ``#`` lines and around tables."""
-    compiled = [(re.compile(rf"^\s*{p}"), name) for p, name in patterns]
-
-    def parts(body: str) -> tuple[str, list[str]]:
-        lines = body.split("\n")
-        plain = [x for x in lines if not x.strip().startswith("#")]
-        bullet, name = next(((p, n) for p, n in compiled if any(p.search(x) for x in plain)), (None, "None"))
-        cut: list[list[str]] = [[]]
-        depth = 0
-        for line in lines:
-            bare = line.strip()
-            if "<table>" in bare:
-                if depth == 0:
-                    cut.append([])
-                depth += 1
-                cut[-1].append(line)
-            elif "</table>" in bare:
-                cut[-1].append(line)
-                depth = max(0, depth - 1)
-                if depth == 0:
-                    cut.append([])
-            else:
-                if depth == 0 and (bare.startswith("#") or (bullet is not None and bullet.search(bare))):
-                    cut.append([])
-                cut[-1].append(line)
-        return name, [t for t in ("\n".join(x).strip() for x in cut) if t]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [parts(t or "") for t in b.pop("_body")]
-            own = np.repeat(np.arange(len(b)), [len(p) for _, p in found])
-            if len(own):
-                parted = {"part_no": [k for _, p in found for k in range(len(p))], "top_bullet": [n for n, p in found for _ in p], "content": [t for _, p in found for t in p]}
-                yield pd.DataFrame({c: b[c].to_numpy(object)[own] for c in b} | {c: np.array(x, object) for c, x in parted.items()})
-
-    rows = chunks.select(*keys, F.col(text).alias("_body"))
-    return rows.mapInPandas(run, rows.drop("_body").schema.simpleString()[7:-1].replace(":", " ") + ", part_no int, top_bullet string, content string")
+    """(keys, part_no, top_bullet, content): chunks cut at the kind of bullet they use, at ``#`` lines and around tables.
+
+    ``keys`` name a chunk. Its kind of bullet is the first pattern that opens one of its lines without ``#``. A line's segment
+    is the number of cuts up to it; lines inside a table, nested tables included, are never cut. Null and blank chunks have no parts.
+    """
+    order = Window.partitionBy(*keys).orderBy("_at")
+    lines = chunks.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_at", "_line")).withColumn("_bare", strip(F.col("_line")))
+    opens = F.contains("_bare", F.lit("<table>"))
+    closes = F.contains("_bare", F.lit("</table>")) & ~opens
+    lines = lines.withColumns({"_signs": F.startswith("_bare", F.lit("#")), "_opens": opens, "_closes": closes, "_step": opens.cast("int") - closes.cast("int")})
+    fits = F.array(*[F.col("_line").rlike(f"(?U)^\\s*{p}") for p, _ in patterns])
+    lines = lines.withColumn("_fits", fits).withColumn("_kind", F.when(~F.col("_signs"), F.array_position("_fits", True)))
+    lines = lines.withColumns({"_kind": F.min(F.nullif("_kind", F.lit(0))).over(Window.partitionBy(*keys)).cast("int"), "_sum": F.sum("_step").over(order)})
+    # How many tables are open behind a line: a closing tag without its opening one counts for nothing.
+    lines = lines.withColumn("_open", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order)))
+    outside = F.coalesce(F.lag("_open").over(order), F.lit(0)) == 0
+    bullet = F.coalesce(F.get("_fits", F.col("_kind") - 1), F.lit(False))
+    behind = F.coalesce(F.lag(F.col("_closes") & (F.col("_open") == 0)).over(order), F.lit(False))
+    cut = (outside & ~F.col("_closes") & (F.col("_opens") | F.col("_signs") | bullet)) | behind
+    parts = lines.withColumn("_cut", cut.cast("int")).withColumn("_segment", F.sum("_cut").over(order))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"]), "\n")
+    parts = parts.groupBy(*keys, "_segment").agg(strip(joined).alias("content"), F.first("_kind").alias("_kind")).where("content != ''")
+    names = F.array(*[F.lit(name) for _, name in patterns])
+    part_no = F.row_number().over(Window.partitionBy(*keys).orderBy("_segment")) - 1
+    return parts.select(*keys, part_no.alias("part_no"), F.coalesce(F.get(names, F.col("_kind") - 1), F.lit("None")).alias("top_bullet"), "content")
 
 
 def token_windows(chunks: DataFrame, tokens: Column, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions import text as X
 from ..functions.chunk_values import INVENTORY
-from ..functions.storage import shared_dir
-from ..operators import chunking, fusion, scoring
+from ..functions.storage import materialize, shared_dir
+from ..operators import chunking, contents, fusion, scoring
 from ..sources import markup
 from ..streaming import feeds
 from . import domain
@@ -132,10 +132,23 @@ def md_tables(spark, sf_dir):
     return chunking.md_tables(_markdown(spark, sf_dir), strict=True).select("doc_id", "content")
 
 
+def _booklet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts behind a table of contents, made of their own words."""
+    word = lambda k: F.coalesce(F.translate(F.get("w", F.lit(k)), "|\\", ""), F.lit("x"))
+    entry = lambda number, k, leaders, page: F.concat(F.lit(f"{number} "), word(k), F.lit(f"{leaders}{page}"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "[\\x09-\\x0D ]+").alias("w"))
+    listed = F.concat_ws("\n", F.lit("목차"), entry("1.", 0, " ........ ", 3), entry("가.", 3, " ··· ", 4), entry("2.", 4, "\t", 12), F.lit("붙임 ..... 90"), F.lit(""))
+    return _markdown(spark, sf_dir).join(docs.select("doc_id", listed.alias("listed")), "doc_id").withColumn("content", F.concat_ws("\n", "listed", "content"))
+
+
+@query("contents_headers")
+def contents_headers(spark, sf_dir):
+    return contents.find_headers(_booklet(spark, sf_dir))
+
+
 def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = chunking.md_tables(_markdown(spark, sf_dir))
-    heads = docs.select("doc_id", F.posexplode("heads").alias("ord", "h")).select("doc_id", "ord", F.concat(F.lit("# "), "h").alias("exact_header"), F.concat(F.lit("L"), "ord").alias("l_topic"), F.col("h").alias("s_topic"))
-    return chunking.slice_headers(docs, heads)
+    docs = materialize(chunking.md_tables(_booklet(spark, sf_dir)).select("doc_id", "content"), "booklets")
+    return chunking.slice_headers(docs, contents.find_headers(docs))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
