@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import materialize
@@ -50,7 +51,7 @@ def build_index(chunks: DataFrame, chunk: str = "chunk_id", group: str = "notice
     return Index(words, materialize(postings.repartition("term"), "postings"), True, *_statistics(words))
 
 
-def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, query: str = "query_id", text: str = "text", tokens: Callable[[Column], Column] = tokens) -> DataFrame:
     return queries.select(F.col(query).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordinals import numbered
+from ..functions.storage import shared_dir
 from ..operators import aggregate, dense, fusion, labels, lexical, metrics
+from ..operators.kept_index import KeptIndex
 from . import domain
 from .domain import TOPICS, tok, with_
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 _IN = "('en', 'fr')"
 _QUERIES = "SELECT md5(text) AS query_id, text FROM (SELECT DISTINCT text FROM targets WHERE trim(text) <> '')"
@@ -81,6 +84,28 @@ def bm25_topn_per_notice(spark, sf_dir):
     return _long(lexical.top(scored, 100, ["query_id", "notice_id"]), "rank").select("query_id", "notice_id", "chunk_id", "score", "rank")
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> KeptIndex:
+    """An index of all chunks, in two appends."""
+    index = KeptIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    chunks = domain.chunks(spark, sf_dir, vectors=False)
+    for half in (0, 1):
+        index.append(chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == half))
+    return index
+
+
+@query("kept_bm25_topk", ORACLE_SQL["bm25_topk"])
+def kept_bm25_topk(spark, sf_dir):
+    """``bm25_topk`` by a kept index, which leaves out blocks of postings that can't be among the best."""
+    found, _ = _kept(spark, sf_dir).best(fusion.query_texts(_targets(spark, sf_dir)), 10)
+    return _long(found, "rank").select("query_id", "notice_id", "chunk_id", "score", "rank")
+
+
+@query("kept_bm25_topn_per_notice", _sql("SELECT query_id, notice_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, notice_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 3", _BM25, {"bm": _SCOPED["bm"]}))
+def kept_bm25_topn_per_notice(spark, sf_dir):
+    found, _ = _kept(spark, sf_dir).best(fusion.query_texts(_targets(spark, sf_dir)), 3, by_notice=True, topics=TOPICS)
+    return _long(found, "rank").select("query_id", "notice_id", "chunk_id", "score", "rank")
+
+
 @query("bm25_terms", _sql("SELECT term, n FROM df", {k: _BM25[k] for k in ("toks", "tf", "df")}, names=("chunks",)))
 def bm25_terms(spark, sf_dir):
     return lexical.build_index(domain.chunks(spark, sf_dir, vectors=False)).terms
