@@ -12,6 +12,7 @@ from ..functions.ordinals import numbered
 from ..functions.storage import shared_dir
 from ..operators import aggregate, dense, fusion, labels, lexical, metrics
 from ..operators.kept_index import KeptIndex
+from ..operators.kept_vectors import KeptVectors
 from . import domain
 from .domain import TOPICS, tok, with_
 from .registry import ORACLE_SQL, query
@@ -129,6 +130,17 @@ def dense_topk_multi(spark, sf_dir):
     return _long(lexical.top(found, 20, ["notice_id", "ordinal"], "distance", largest=False), "rank").select("notice_id", "ordinal", "chunk_id", "distance", "rank")
 
 
+@query("kept_dense_topk_multi", ORACLE_SQL["dense_topk_multi"])
+def kept_dense_topk_multi(spark, sf_dir):
+    """``dense_topk_multi`` by kept lists of vectors, of which those that are too far are skipped."""
+    chunks, targets = _chunks_targets(spark, sf_dir)
+    index = KeptVectors(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    index.create(chunks)
+    index.append(chunks)
+    found, _ = index.best(targets, 20, TOPICS)
+    return _long(found, "rank")
+
+
 @query("nearest_target", _sql("SELECT notice_id, chunk_id, min_by(ordinal, (distance, ordinal)) AS ordinal, min(distance) AS distance FROM dist_all GROUP BY ALL", _DENSE))
 def nearest_target(spark, sf_dir):
     return dense.nearest(dense.scan(*_chunks_targets(spark, sf_dir), fetch=1))
