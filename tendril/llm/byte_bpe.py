@@ -11,7 +11,7 @@ replaces its leftmost pair. Where that pair stands several times, all its places
 makes, on the way or at the end, comes earlier in rank, and no other pair has the same rank; then one step does what as many
 single ones would. So a run of one character takes as many steps as its length has bits.
 
-Pieces are counted over all texts. The most frequent, at most SENT of up to LONGEST characters, are encoded once each, as
+Words are counted over all texts. The pieces of the most frequent, at most SENT of up to LONGEST characters, are encoded once each, as
 distinct words, and sent as a map, which these two numbers bound. What is not in it is folded where it stands, by the same
 expression. No text is shuffled, only counts of pieces.
 
@@ -25,9 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +42,11 @@ FIRST, SURROGATES, NONE = 0x1000, (0xD800, 0xE000), "\U0010ffff"
 #: Entries of one small map, about.
 SMALL = 4
 #: Pieces that are sent at most; characters of the longest of them.
-SENT, LONGEST = 1 << 19, 32
+SENT, LONGEST = 1_000_000, 32
 #: Pieces that one task folds.
 FOLDED = 8192
-#: Pieces that a task counts before it hands them on.
-HELD = 500_000
+#: Characters of the longest word that is looked into for pieces to be sent.
+LONGEST_WORD = 1 << 10
 
 
 def char(token: int) -> str:
@@ -130,6 +128,15 @@ class Ranks:
         every = lambda s: _bound(F.split(s, ""), lambda a: F.transform(a, lambda x, i: self._merged(pairs, F.concat(x, F.get(a, i + 1)))))
         return _bound(text, lambda s: _bound(every(s), lambda e: F.struct(s.alias("s"), F.array_join(e, "").alias("every"), F.array_min(e).alias("z"))))
 
+    def _one(self, state: Column, at: Column, pairs: Column) -> Column:
+        """The pair at that place is merged; only its two neighbours are looked up again."""
+        s, every, z = state["s"], state["every"], state["z"]
+        before = F.when(at > 1, self._merged(pairs, F.concat(F.substr(s, at - 1, F.lit(1)), z))).otherwise("")
+        behind = self._merged(pairs, F.concat(z, F.substr(s, at + 2, F.lit(1))))
+        merged = F.concat(F.substr(every, F.lit(1), at - 2), before, behind, F.substr(every, at + 2))
+        text = F.concat(F.substr(s, F.lit(1), at - 1), z, F.substr(s, at + 2))
+        return _bound(merged, lambda e: F.struct(text.alias("s"), e.alias("every"), F.array_min(F.split(e, "")).alias("z")))
+
     def _several(self, state: Column, at: Column, one: Column, pairs: Column) -> Column:
         """All places of the pair at once, if all have the same pair, and neither what the merges leave nor a merged
         character with the next place's left one, which stand side by side between two merges, comes earlier."""
@@ -144,7 +151,7 @@ class Ranks:
     def _folded(self, begun: Column, pairs: Column) -> Column:
         def merge(state: Column, at: Column) -> Column:
             s, z = state["s"], state["z"]
-            one = self._state(F.concat(F.substr(s, F.lit(1), at - 1), z, F.substr(s, at + 2)), pairs)
+            one = self._one(state, at, pairs)
             return F.when(F.position(z, state["every"], at + 1) == 0, one).otherwise(self._several(state, at, one, pairs))
 
         step = lambda state, _: F.when(state["z"] == NONE, state).otherwise(_bound(F.position(state["z"], state["every"]), lambda at: merge(state, at)))
@@ -168,37 +175,32 @@ def _pieces(text: str, pattern: str) -> list[str]:
 
 
 def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(piece, n): the pieces of all texts."""
+    """(piece, n): the pieces of all texts that are met more than once, about. Words between spaces are counted, and what the
+    pattern makes of a distinct word behind a space counts as often; so pieces that hold several spaces, or begin a text, are
+    counted otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(met), pa.string()), pa.array(list(met.values()), pa.int64())], ["piece", "n"])
-
-        met: Counter[str] = Counter()
         for b in batches:
-            for _, _, texts in _texts(b.column(0)):
-                for t in texts:
-                    met.update(_pieces(t, pattern))
-                if len(met) >= HELD:
-                    yield told()
-                    met.clear()
-        yield told()
+            found = [_pieces(f" {w}", pattern) for w in b.column("word").to_pylist()]
+            own = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array([p for x in found for p in x], pa.string()), b.column("n").take(pa.array(own))], ["piece", "n"])
 
-    rows = docs.select(F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = words.where((F.col("n") > 1) & (F.char_length("word") <= LONGEST_WORD))
+    return words.mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text") -> DataFrame:
-    """(piece, ids): the most frequent pieces, those met at least as often as the least power of two that no more than SENT
-    of them reach."""
+    """(piece, ids): the most frequent pieces, those met at least as often as the least count, on a scale of quarter powers
+    of two, that no more than SENT of them reach."""
     met = count_pieces(docs, pattern, text)
     met = materialize(met.where((F.col("n") > 1) & (F.char_length("piece") <= LONGEST)), "pieces")
     reach, least, kept = 0, None, 0
-    for r in met.groupBy(F.floor(F.log2("n")).alias("bits")).agg(F.count("*").alias("n")).orderBy(F.desc("bits")).collect():
+    for r in met.groupBy(F.floor(F.log2("n") * 4).alias("level")).agg(F.count("*").alias("n"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():
         reach += r.n
         if reach > SENT:
             break
-        least, kept = 1 << r.bits, reach
+        least, kept = r.least, reach
     often = met.where(F.col("n") >= least) if least else met.where("false")
     often = often.repartition(1 + kept // FOLDED)
     return materialize(ranks.beside(often).select("piece", F.element_at(ranks.ids(F.array("piece")), 1).alias("ids")), "vocabulary")
@@ -208,10 +210,11 @@ class _Known(dict):
     """The ids of known pieces as bytes; pieces of a text that aren't known are numbered, and -1 - number stands for them."""
 
     def __init__(self, sent: bytes):
-        table = pa.ipc.open_stream(sent).read_all()
-        ids = table.column("ids").combine_chunks()
-        raw, off = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-        super().__init__(zip(table.column("piece").to_pylist(), (raw[4 * s : 4 * e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)), strict=True))
+        super().__init__()
+        for b in pa.ipc.open_stream(sent):
+            lists = b.column("ids")
+            raw, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
+            self.update(zip(b.column("piece").to_pylist(), map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
         self.rare: dict[str, int] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -222,17 +225,6 @@ class _Known(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<i4"), list(self.rare)
 
 
-#: The last map that this worker has read, by the name of what was sent.
-_READ: dict[str, _Known] = {}
-
-
-def _known(name: str, sent) -> _Known:
-    if name not in _READ:
-        _READ.clear()
-        _READ[name] = _Known(sent.value)
-    return _READ[name]
-
-
 def _spliced(ids: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
     if not rare:
         return ids
@@ -254,25 +246,29 @@ def _struct(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, text: str) -> DataFrame:
-    """(row, ids, rare): the document as a struct, its ids with -1 - number for rare pieces, and these pieces' ids."""
+def _encoded(docs: DataFrame, path: str, pattern: str, text: str, keep: bool = True) -> DataFrame:
+    """(row, ids, rare): the document as a struct, on demand without its text, its ids with -1 - number for rare pieces, and these pieces' ids."""
     ranks = Ranks(docs.sparkSession, path)
     sink = pa.BufferOutputStream()
     table = vocabulary(docs, ranks, pattern, text).toArrow()
     with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    sent, name = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
-    packed = _struct(docs)
+        out.write_table(table, max_chunksize=4096)
+    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    if not keep:
+        packed = packed.withColumn("row", F.col("row").dropFields(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _known(name, sent)
+        known = _Known(sent.value)
         for b in batches:
-            for lo, hi, texts in _texts(b.column(0).field(text)):
+            for lo, hi, texts in _texts(b.column(1)):
                 found = [known.encode(_pieces(t, pattern)) for t in texts]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists([x for x, _ in found]), pa.array([x for _, x in found], pa.list_(pa.string()))], ["row", "ids", "rare"])
+        known.clear()  # this worker may serve other steps next
 
     found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, rare array<string>")
-    return ranks.beside(found).select("row", "ids", ranks.ids(F.col("rare")).alias("rare"))
+    # Written, so that no task holds two Python workers, one of them with the map.
+    return materialize(ranks.beside(found).select("row", "ids", ranks.ids(F.col("rare")).alias("rare")), "encoded")
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -328,7 +324,7 @@ def digest(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
     rows = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_names(path))
-    found = _encoded(rows, path, pattern, "text").select("row.doc_id", "ids", "rare")
+    found = _encoded(rows, path, pattern, "text", keep=False).select(F.col("row.doc_id").alias("doc_id"), "ids", "rare")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value
