@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources import feed, files, tables
-from ..streaming import feeds
+from ..streaming import feeds, watch
 from . import domain
 from .domain import table, with_
 from .registry import query
@@ -226,6 +226,24 @@ def status_changes(spark, sf_dir):
     return feeds.changes(domain.progress(spark, sf_dir), "set_id", ["ts", "event_id"], ["status", "current"]).select("set_id", "event_id", "status", "current")
 
 
+_WATCHED = "SELECT user_id AS set_id, ts, event_id AS seq, nullif(nullif(event_type, 'error'), 'purchase') AS status, event_type = 'purchase' AS done, floor(value)::INT AS current FROM events"
+
+
+@query(
+    "status_events",
+    "WITH w AS (SELECT set_id, ts, seq, CASE WHEN done THEN 'completed' ELSE status END AS status, current, min(ts) OVER (PARTITION BY set_id) + INTERVAL 1 HOUR AS until, max(ts) OVER () AS latest FROM (" + _WATCHED + ")), "
+    "o AS (SELECT *, coalesce(sum((status IS NULL OR status = 'completed')::INT) OVER (PARTITION BY set_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM w WHERE ts <= until), "
+    "k AS (SELECT *, row_number() OVER v AS n, lag(status) OVER v AS s, lag(current) OVER v AS c FROM o WHERE over = 0 WINDOW v AS (PARTITION BY set_id ORDER BY ts, seq)) "
+    "SELECT set_id, ts, seq, CASE WHEN status IS NULL THEN 'gone' ELSE 'status' END AS kind, status, current, 100 AS total FROM k WHERE n = 1 OR status IS DISTINCT FROM s OR current IS DISTINCT FROM c "
+    "UNION ALL SELECT set_id, until, NULL, 'timeout', NULL, NULL, NULL FROM k GROUP BY set_id, until, latest HAVING count(*) FILTER (status IS NULL OR status = 'completed') = 0 AND latest > until",
+)
+def status_events(spark, sf_dir):
+    """Users as sets: a purchase completes one, an error says that it is gone, an hour is the deadline."""
+    kind = F.when(F.col("event_type") == "purchase", "completed").otherwise(F.nullif("event_type", F.lit("error")))
+    rows = domain.table(spark, sf_dir, "events").select(F.col("user_id").alias("set_id"), "ts", F.col("event_id").alias("seq"), kind.alias("status"), F.floor("value").cast("int").alias("current"), F.lit(100).alias("total"))
+    return watch.events(rows, seconds=3600)
+
+
 @query("progress_monotone", with_("progress", epochs="SELECT *, sum((current = 0)::INT) OVER (PARTITION BY set_id ORDER BY ts, event_id) AS epoch FROM progress") + "SELECT set_id, event_id, current, greatest(max(current) OVER (PARTITION BY set_id, epoch ORDER BY ts, event_id), 0) AS progress FROM epochs")
 def progress_monotone(spark, sf_dir):
     return feeds.monotone(domain.progress(spark, sf_dir), "set_id", ["ts", "event_id"], "current").select("set_id", "event_id", "current", "progress")
