@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from ..functions.chunk_values import INVENTORY
 from ..functions.storage import materialize, shared_dir
 from ..operators import chunking, contents, fusion, scoring
 from ..sources import markup
-from ..streaming import feeds
+from ..streaming import feeds, queues
 from . import domain
 from .domain import table, tok, with_
 from .registry import query
@@ -219,12 +220,20 @@ def search_end_to_end(spark, sf_dir):
     return kept.join(found, "notice_id").select("notice_id", "budget_krw", "aggregate_score", "n_chunks")
 
 
+def _landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    source = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return source.parquet(f"{sf_dir}/{name}.parquet")
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 @query("ingest_stream", "WITH toks AS (SELECT doc_id, len(" + tok("text") + ") AS n FROM documents) SELECT doc_id, (CASE WHEN n <= 7500 THEN 0 ELSE k // 7100 + 1 END)::INT AS part_no, least(7500, n - k)::INT AS token_count FROM (SELECT doc_id, n, unnest(CASE WHEN n <= 7500 THEN [0] ELSE range(0, n, 7100) END) AS k FROM toks)")
 def ingest_stream(spark, sf_dir):
     """Documents as a landing folder: each batch is cut into windows and appended once."""
     base = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "documents").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "documents*.parquet").parquet(sf_dir)
+    source = _landed(spark, sf_dir, "documents")
 
     def step(batch: DataFrame) -> DataFrame:
         found = chunking.token_windows(batch.select("doc_id", "text"), X.tokens(F.col("text")))
@@ -234,6 +243,38 @@ def ingest_stream(spark, sf_dir):
     return spark.read.schema("doc_id long, part_no int, token_count int").parquet(f"{base}/out").select("doc_id", "part_no", "token_count")
 
 
+_LONG, _SIZE, _STEP, _SHORT = 2500, 300, 260, 4
+
+
+def _window_worker(row: dict) -> list[dict]:
+    """Windows of a document's words; it refuses those of too many."""
+    words = [w for w in re.split("[\x09-\x0D ]+", row["text"] or "") if w]
+    if len(words) > _LONG:
+        raise ValueError("too long")
+    return [{"part_no": k, "content": " ".join(words[at : at + _SIZE])} for k, at in enumerate(range(0, len(words), _STEP))]
+
+
+def _vector_worker(row: dict) -> list[dict]:
+    """The vector of a window; it refuses those of too few words."""
+    if row["content"].count(" ") + 1 < _SHORT:
+        raise ValueError("too short")
+    return [{"part_no": row["part_no"], "embedding": providers.HashProvider(16).embed([row["content"]])[0]}]
+
+
+@query("queue_states", f"""WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda w: w <> '')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 0 OR n > {_LONG} OR n - {_STEP} * ((n - 1) // {_STEP}) < {_SHORT} THEN 'ERROR' ELSE 'EMBEDDED' END AS state,
+    CASE WHEN n = 0 THEN 'no results' WHEN n > {_LONG} THEN 'ValueError: too long' WHEN n - {_STEP} * ((n - 1) // {_STEP}) < {_SHORT} THEN 'ValueError: too short' END AS error FROM n""")
+def queue_states(spark, sf_dir):
+    """Documents through two chained queues, windows and their vectors, each of which refuses some."""
+    base = f"{shared_dir(spark)}/queues-{uuid.uuid4().hex}"
+    source = _landed(spark, sf_dir, "documents")
+    cut = queues.Step(spark, f"{base}/cut", "doc_id", _window_worker, "part_no int, content string", "CHUNKED")
+    embed = queues.Step(spark, f"{base}/embed", "doc_id", _vector_worker, "part_no int, embedding array<double>", "EMBEDDED")
+    cut.start(source.select("doc_id", "text")).awaitTermination()
+    cut.feed(embed).awaitTermination()
+    return queues.states(table(spark, sf_dir, "documents"), "doc_id", [cut, embed])
+
+
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     found = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
