@@ -4,8 +4,9 @@ Words are the runs of digits, letters a-z (A-Z lower-cased) and characters beyon
 stand consecutively. ``BASE`` phrases give the base labels; ``NOTICES`` and identifier tags add the method's labels. What
 follows ``SPDX-License-Identifier:`` on its line is an expression over licence ids with ``and``, ``or``, ``with`` and
 parentheses; it gives the labels of its ids, and is allowed if an allow-list satisfies it (all sides of an ``and``, one
-of an ``or``; ``with`` binds an exception to its licence). A malformed expression, or one with an id that no start of the
-public list fits, gives no labels and isn't allowed.
+of an ``or``; ``with`` binds an exception to its licence). A malformed expression gives no labels and isn't allowed. An id
+that is no name of the list with versions and known words behind it gives no label and is not allowed, nor is a licence with
+an unknown exception; the labels of the other ids stay.
 
 score is 1 - product of (1 - weight) over the distinct pieces of evidence, 0 without any.
 
@@ -15,6 +16,7 @@ repeated counts at each place but once as evidence. Texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -48,15 +50,26 @@ NOTICES = {
     "creative commons attribution noncommercial 4 0 international": "cc-by-nc",
 }
 TAG = "spdx license identifier"
-# The starts of the public list's licence ids, lower-cased, which are their labels; the longest start counts.
-# What follows ``licenseref`` is a licence of one's own.
+# Names of the public list's licences, lower-cased, which are their labels; the longest name counts. Ids are
+# these names with versions and some of the words below behind them.
 IDS = (
     "mit", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "bsd", "isc", "unlicense", "cc0", "cc-by", "cc-by-sa", "cc-by-nc",
-    "0bsd", "afl", "apsl", "artistic", "blueoak", "bsl", "busl", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-pddc", "cddl", "cecill",
-    "cpl", "curl", "ecl", "efl", "elastic", "eupl", "ftl", "gfdl", "hpnd", "icu", "ijg", "ipl", "json", "libpng", "licenseref", "lppl",
-    "ms-pl", "ms-rl", "mulanpsl", "ncsa", "nposl", "odbl", "odc-by", "ofl", "ogl", "openssl", "osl", "pddl", "php", "postgresql",
-    "psf", "python", "qpl", "ruby", "sleepycat", "sspl", "tcl", "unicode", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl",
+    "0bsd", "aal", "adsl", "afl", "apafml", "apl", "apsl", "artistic", "bahyph", "barr", "beerware", "blueoak", "borceux", "bsl", "busl",
+    "caldera", "catosl", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-pddc", "cddl", "cecill", "cecill-b", "cecill-c", "clartistic", "cnri-jython",
+    "cnri-python", "condor", "cpal", "cpl", "cpol", "crossword", "cua-opl", "cube", "curl", "d-fsl", "doc", "dotseqn", "dsdp", "ecl", "efl", "egenix",
+    "elastic", "entessa", "erlpl", "eudatagrid", "eupl", "eurosym", "fair", "frameworx", "freeimage", "fsfap", "fsful", "fsfullr", "ftl", "gfdl",
+    "giftware", "gl2ps", "glide", "glulxe", "gnuplot", "hpnd", "icu", "ijg", "imagemagick", "imatix", "imlib2", "intel", "intel-acpi", "interbase", "ipa",
+    "ipl", "jasper", "jpnic", "json", "lal", "latex2e", "libpng", "libtiff", "liliq-p", "liliq-r", "liliq-rplus", "lpl", "lppl", "miros", "motosoto",
+    "mpich2", "ms-lpl", "ms-pl", "ms-rl", "mulanpsl", "multics", "mup", "nasa", "naumen", "ncsa", "net-snmp", "netcdf", "newsletr", "ngpl", "nlod", "nlpl",
+    "nokia", "nosl", "noweb", "npl", "nposl", "nrl", "ntp", "oclc", "odbl", "odc-by", "ofl", "ogl", "ogtsl", "oldap", "oml", "openssl", "opl", "oset-pl", "osl",
+    "parity", "pddl", "php", "plexus", "postgresql", "psf", "psutils", "python", "qhull", "qpl", "rdisc", "rhecos", "rpl", "rpsl", "rsa-md", "rscpl", "ruby",
+    "sax-pd", "scea", "sgi-b", "simpl", "sissl", "sleepycat", "smlnj", "snia", "spencer", "sspl", "sugarcrm", "tcl", "tcp-wrappers", "tmate", "torque", "unicode",
+    "upl", "vim", "vostrom", "vsl", "w3c", "watcom", "wsuipa", "wtfpl", "x11", "xerox", "xinetd", "xnet", "xpp", "xskat", "ypl", "zed", "zend", "zimbra", "zlib", "zpl",
 )
+# Words that stand in ids behind a name or version.
+WORDS = "only|or|later|clause|clear|patent|attribution|no|nuclear|license|licence|warranty|military|open|source|code|views|lbnl|uc|advertising|cmu|enna|feh|modern|variant|festival|perl|cl8|invariants|shortened|rfn|tou|dfs|acknowledgement|sell|netbsd|simplified|igo|at|au|de|nl|us|uk|fr|jp|eg|dcma|rlx|mpi|l|p|p2|uk|94|86|99"
+# Names that stand behind ``with``: those that end in ``exception``, with a version or without, and these.
+EXCEPTIONS = ("linux-syscall-note", "gpl-cc", "shl")
 ALLOWED = ("mit", "apache", "bsd", "isc", "unlicense", "cc0", "cc-by")
 WEIGHT_BASE, WEIGHT_NOTICE, WEIGHT_TAG, WEIGHT_MALFORMED = 0.6, 0.8, 0.95, 0.3
 
@@ -65,16 +78,23 @@ _PART = re.compile(r"[()]|[A-Za-z0-9.+:_-]+")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
+_BEHIND = re.compile(rf"(?:-(?:v?[0-9]+(?:\.[0-9]+)*[a-z]?|{WORDS}))*\+?")
+_EXCEPTION = re.compile(rf"(?:[a-z0-9]+(?:\.[0-9]+)?-)*(?:exception|{'|'.join(EXCEPTIONS)})(?:-[0-9]+(?:\.[0-9]+)*)?")
+
+
+@functools.cache
 def label(licence: str) -> str | None:
-    """The label of a licence id, None if the list has none that starts so."""
+    """The label of a licence id, None if it is no name of the list with versions and known words behind it. References to
+    licences of one's own are ``licenseref``."""
     low = licence.lower()
-    fits = [x for x in IDS if low == x or low.startswith((x + "-", x + "+"))]
+    if re.fullmatch(r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+", low):
+        return "licenseref"
+    fits = [x for x in IDS if low.startswith(x) and _BEHIND.fullmatch(low, len(x))]
     return max(fits, key=len, default=None)
 
 
-def known(parts: list[str]) -> bool:
-    """Whether all licences of a postfix expression are on the list; exceptions are free."""
-    return all(p in _PRECEDENCE or parts[k + 1 : k + 2] == ["with"] or label(p) for k, p in enumerate(parts))
+def is_exception(name: str) -> bool:
+    return _EXCEPTION.fullmatch(name.lower()) is not None
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -115,18 +135,20 @@ def postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(parts: list[str], allowed: frozenset[str]) -> tuple[bool, set[str]]:
-    """(whether the allowed labels satisfy the expression, labels of its licences)."""
+    """(whether the allowed labels satisfy the expression, labels of its known licences). What is unknown, licence or
+    exception, is not allowed, and takes no label away."""
     stack: list[bool] = []
     labels: set[str] = set()
     for k, part in enumerate(parts):
         if part in _PRECEDENCE:
             b, a = stack.pop(), stack.pop()
-            stack.append(a or b if part == "or" else a and b if part == "and" else a)
+            stack.append(a or b if part == "or" else a and b)
         elif k + 1 < len(parts) and parts[k + 1] == "with":  # an exception, not a licence
-            stack.append(True)
+            stack.append(is_exception(part))
         else:
-            labels.add(label(part))
-            stack.append(label(part) in allowed)
+            own = label(part)
+            labels |= {own} - {None}
+            stack.append(own in allowed)
     return stack[-1], labels
 
 
@@ -172,14 +194,12 @@ def scan_text(raw: bytes, machine: ahocorasick.Automaton, allowed: frozenset[str
     fine: list[bool] = []
     for m in _TAG_LINE.findall(raw) if tagged else ():
         parts = postfix(m.decode(errors="replace"))
-        if parts and not known(parts):
-            parts = None
         ok, own = evaluate(parts, allowed) if parts else (False, set())
         fine.append(ok)
         labels |= own
-        if parts:
+        if own:
             expressions.append(" ".join(parts))
-        evidence[f"tag {parts}"] = WEIGHT_TAG if parts else WEIGHT_MALFORMED
+        evidence[f"tag {parts}"] = WEIGHT_TAG if own else WEIGHT_MALFORMED
     miss = 1.0
     for _, w in sorted(evidence.items()):
         miss *= 1 - w

@@ -625,13 +625,12 @@ def read_expression(said):
             at += 1
         else:
             name = licenses.label(parts[at - 1])
-            if name is None:
-                raise ValueError
-            found = name in licenses.ALLOWED, {name}
+            found = name in licenses.ALLOWED, {name} - {None}
         if peek() == "with":
             at += 1
             if peek() in ("", "(", ")", "and", "or", "with"):
                 raise ValueError
+            found = found[0] and licenses.is_exception(parts[at]), found[1]
             at += 1
         return found
 
@@ -683,7 +682,7 @@ def test_license_labels_and_scores(spark):
             try:
                 value, own = read_expression(line)
                 names |= own
-                weights["tag", str(licenses.postfix(line))] = 0.95
+                weights["tag", str(licenses.postfix(line))] = 0.95 if own else 0.3
             except ValueError:
                 value = False
                 weights["tag", "None"] = 0.3
@@ -703,6 +702,24 @@ def test_expression_values():
     assert licenses.evaluate(licenses.postfix("MIT OR GPL-3.0"), ok) == (True, {"mit", "gpl"})
     assert licenses.evaluate(licenses.postfix("MIT AND GPL-3.0"), ok) == (False, {"mit", "gpl"})
     assert licenses.evaluate(licenses.postfix("LGPL-2.1 WITH exception"), ok) == (False, {"lgpl"})
+    assert licenses.evaluate(licenses.postfix("MIT OR banana-7"), ok) == (True, {"mit"})
+    assert licenses.evaluate(licenses.postfix("MIT AND banana-7"), ok) == (False, {"mit"})
+    assert licenses.evaluate(licenses.postfix("MIT WITH Classpath-exception-2.0"), ok) == (True, {"mit"})
+    assert licenses.evaluate(licenses.postfix("MIT WITH nonsense"), ok) == (False, {"mit"})
+
+
+@pytest.mark.parametrize(
+    ("licence", "name"),
+    [
+        ("MIT", "mit"), ("MIT-0", "mit"), ("GPL-2.0-only", "gpl"), ("GPL-2.0+", "gpl"), ("LGPL-2.1-or-later", "lgpl"), ("BSD-3-Clause", "bsd"), ("BSD-3-Clause-No-Nuclear-License-2014", "bsd"),
+        ("CC-BY-NC-SA-3.0-IGO", "cc-by-nc-sa"), ("Apache-2.0", "apache"), ("Beerware", "beerware"), ("NTP", "ntp"), ("AAL", "aal"), ("Zend-2.0", "zend"), ("NASA-1.3", "nasa"), ("Intel", "intel"),
+        ("SISSL-1.2", "sissl"), ("Watcom-1.0", "watcom"), ("RPL-1.5", "rpl"), ("Xnet", "xnet"), ("CATOSL-1.1", "catosl"), ("CNRI-Python", "cnri-python"), ("LiLiQ-P-1.1", "liliq-p"), ("Fair", "fair"),
+        ("Frameworx-1.0", "frameworx"), ("SimPL-2.0", "simpl"), ("LicenseRef-own", "licenseref"), ("DocumentRef-a:LicenseRef-b", "licenseref"), ("LicenseRef", None),
+        ("MIT-nonsense", None), ("GPL-banana-7", None), ("MITX", None), ("Apache 2", None), ("GPL-", None), ("", None), ("banana", None),
+    ],
+)
+def test_licence_ids(licence, name):
+    assert licenses.label(licence) == name
 
 
 def near(have):
