@@ -30,7 +30,7 @@ from ..functions.storage import materialize
 from .arrow_text import LOWER_WORDS, LOWER_WORDS_TABLE, blocks, range_sums, run_hash, slice_hash, word_bounds
 
 WINDOW = 10
-MAX_WINDOWS = 200_000
+MAX_WINDOWS = 200_000  # pairs of a window and an item that are sent at once
 _BITS = 22
 
 
@@ -141,10 +141,12 @@ def _scanner(broadcast, text_of: Callable[[pa.RecordBatch], pa.Array]) -> Callab
 
 
 def _window_blocks(benchmark: DataFrame, window: int, item: str, item_text: str, max_windows: int) -> list[DataFrame]:
-    """(window, n, items) of the distinct windows, in blocks of about ``max_windows`` rows."""
-    by_window = materialize(windows(benchmark, window, item, item_text).groupBy("window", "n").agg(F.collect_set("item").alias("items")), "windows")
-    n_blocks = max(1, -(-by_window.count() // max_windows))
-    return [by_window.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == k) for k in range(n_blocks)] if n_blocks > 1 else [by_window]
+    """(window, n, items) of the distinct windows, in blocks of about ``max_windows`` pairs of a window and an item. A window
+    of many items is in several blocks, each with some of them, so no block's lists outgrow it."""
+    pairs = materialize(windows(benchmark, window, item, item_text), "windows")
+    n_blocks = max(1, -(-pairs.count() // max_windows))
+    block = F.pmod(F.xxhash64("window", "item"), F.lit(n_blocks))
+    return [pairs.where(block == k).groupBy("window", "n").agg(F.collect_set("item").alias("items")) for k in range(n_blocks)]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, item: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:

@@ -86,6 +86,18 @@ def test_decontaminate(spark, docs, most):
     assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == want
 
 
+def test_decontaminate_window_of_many_items(spark):
+    """A window that all items share: its list is sent in parts, and every item is told."""
+    shared = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(k, f"{shared} w{k}") for k in range(60)] + [(99, "other short")], "item_id long, text string")
+    rows = [(1, f"a {shared} b"), (2, "other short one"), (3, "clean"), (4, f"{shared} w7")]
+    for most in (200_000, 7):
+        blocks = decontaminate._window_blocks(bench, 10, "item_id", "text", most)
+        assert max(sum(len(r["items"]) for r in b.collect()) for b in blocks) <= max(4 * most, 0) and len(blocks) == -(-121 // most)
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), bench, max_windows=most).collect()}
+        assert got == {1: (10, 60), 2: (2, 1), 3: (0, 0), 4: (11, 60)}
+
+
 def test_decontaminate_sql(spark):
     same(duck(SF), queries.QUERIES["op1_decontaminate"](spark, SF), queries.ORACLE_SQL["op1_decontaminate"])
 
