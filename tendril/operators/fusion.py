@@ -97,7 +97,10 @@ def rank_chunks(chunks: DataFrame, targets: DataFrame, message: str | None = Non
 def hydrate(ranked: DataFrame, chunks: DataFrame, targets: DataFrame, n: int = PREVIEW) -> DataFrame:
     """Ranked chunks with target, topic and preview; texts meet the ranking only now."""
     texts = chunks.select("chunk_id", "l_topic", preview(F.col("content"), n).alias("preview"))
-    return ranked.join(F.broadcast(targets.select("ordinal", F.col("source").alias("matched_source"), F.col("id").alias("matched_id"))), "ordinal").join(texts, "chunk_id").drop("ordinal")
+    named = targets.select("ordinal", F.col("source").alias("matched_source"), F.col("id").alias("matched_id"))
+    if named.limit(dense.MAX_TARGETS + 1).count() <= dense.MAX_TARGETS:
+        named = F.broadcast(named)
+    return ranked.join(named, "ordinal").join(texts, "chunk_id").drop("ordinal")
 
 
 def second_filter(notices: DataFrame, chunks: DataFrame, targets: DataFrame, message: str | None = None, topics: tuple[str, ...] | None = None, candidate_k: int = CANDIDATE_K, final_k: int = FINAL_K, k: int = RRF_K) -> DataFrame:

@@ -64,7 +64,8 @@ def search(index: Index, queries: DataFrame, query: str = "query_id", text: str
     asked = query_terms(queries, query, text)
     terms = [r.term for r in asked.select("term").distinct().limit(MAX_SENT_TERMS + 1).collect()]
     few = len(terms) <= MAX_SENT_TERMS
-    sent = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    # Many queries may share few terms: what is sent is bounded by its rows.
+    sent = (lambda df: F.broadcast(df)) if few and asked.limit(MAX_SENT_TERMS + 1).count() <= MAX_SENT_TERMS else (lambda df: df)
     if few and not index.stored:
         held = index.words.select("chunk_id", "notice_id", "l_topic", "dl", F.filter("words", lambda w: w.isin(terms)).alias("held"))
         held = materialize(held, "held")
