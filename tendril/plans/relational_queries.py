@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from ..operators import tools
 from ..sources import feed, files, tables
 from ..streaming import feeds, watch
 from . import domain
@@ -175,6 +176,16 @@ def partners_of_search(spark, sf_dir):
     return searches.join(owners, "c_custkey").join(partners, "s_nationkey").select("search_id", "partner_id", "partner")
 
 
+@query("partners_tool", "SELECT o_orderkey AS search_id, s_suppkey AS partner_id, s_name AS partner FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 100) ON s_nationkey = c_nationkey WHERE o_orderstatus = 'P'")
+def partners_tool(spark, sf_dir):
+    """``partners_of_search`` as an assistant's tool calls it, from SQL."""
+    searches = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("search_id"), F.col("o_custkey").alias("c_custkey"))
+    searches = searches.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("company_id")), "c_custkey").drop("c_custkey")
+    partners = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("company_id"), F.col("s_suppkey").alias("partner_id"), F.col("s_name").alias("partner"))
+    tools.register(spark)
+    return spark.sql("SELECT * FROM list_partners(TABLE({rows}), 100, 'partner')", rows=tools.tool_rows(searches, partners))
+
+
 @query("row_counts", with_("notices") + "SELECT domain_code, count(*) AS notices, count(joint_venture_method) AS joint FROM notices GROUP BY 1")
 def row_counts(spark, sf_dir):
     return domain.notices(spark, sf_dir).groupBy("domain_code").agg(F.count("*").alias("notices"), F.count("joint_venture_method").alias("joint"))
