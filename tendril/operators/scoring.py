@@ -35,12 +35,14 @@ def soft_score(criteria: DataFrame, by: list[str]) -> DataFrame:
     return criteria.groupBy(*by).agg(F.least(F.coalesce(share, F.lit(0)), F.lit(100)).alias("soft_score"))
 
 
-def rubric_text(chunks: DataFrame, template: str | None = None, patterns: Rubric | None = None) -> DataFrame:
-    """(notice_id, rubric, n_chunks): the rubric chunks of each notice in order, or the template."""
-    found = rubric(chunks, "content", patterns).where("is_eval_table")
-    joined = found.groupBy("notice_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n").alias("rubric"), F.count("*").alias("n_chunks"))
+def rubric_text(chunks: DataFrame, template: str | None = None, patterns: Rubric | None = None, places: int = 256) -> DataFrame:
+    """(notice_id, part_no, rubric, n_chunks): the rubric chunks of each notice in order, in parts of ``places`` places of the
+    notice, so that a large notice is no single value; a notice without any has the template as its only part."""
+    found = rubric(chunks, "content", patterns).where("is_eval_table").withColumn("part_no", F.floor(F.col("chunk_index") / places).cast("int"))
+    joined = concat_chunks(found, ["notice_id", "part_no"]).withColumnRenamed("notice_id", "_notice")
     notices = chunks.select("notice_id").distinct()
-    return notices.join(joined, "notice_id", "left").select("notice_id", F.coalesce("rubric", F.lit(template)).alias("rubric"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    rows = notices.join(joined, F.col("notice_id").eqNullSafe(F.col("_notice")), "left")
+    return rows.select("notice_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("body", F.lit(template)).alias("rubric"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 def third_filter(scored: DataFrame, candidates: int = CANDIDATES, returned: int = RETURNED) -> DataFrame:

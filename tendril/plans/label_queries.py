@@ -26,7 +26,7 @@ def rubric_classify(spark, sf_dir):
     return classify.rubric(rows, "content", _RUBRIC).select("doc_id", "gate_a_hits", "gate_b", "disqualified", "score", "is_eval_table")
 
 
-@query("rubric_text", _RSQL + ", ch AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT ch.source AS notice_id, coalesce(string_agg(ch.text, chr(10) || chr(10) ORDER BY i) FILTER (a >= 1 AND gate AND NOT dis), 'template') AS rubric, count(*) FILTER (a >= 1 AND gate AND NOT dis) AS n_chunks FROM ch JOIN c USING (doc_id) GROUP BY 1")
+@query("rubric_text", _RSQL + ", ch AS (SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents), parts AS (SELECT ch.source AS notice_id, (i // 256)::INT AS part_no, string_agg(ch.text, chr(10) || chr(10) ORDER BY i) AS rubric, count(*) AS n_chunks FROM ch JOIN c USING (doc_id) WHERE a >= 1 AND gate AND NOT dis GROUP BY ALL) SELECT n.notice_id, coalesce(part_no, 0) AS part_no, coalesce(rubric, 'template') AS rubric, coalesce(n_chunks, 0) AS n_chunks FROM (SELECT DISTINCT source AS notice_id FROM documents) n LEFT JOIN parts ON n.notice_id IS NOT DISTINCT FROM parts.notice_id")
 def rubric_text(spark, sf_dir):
     return scoring.rubric_text(domain.chunks(spark, sf_dir, vectors=False, indexed=True), "template", _RUBRIC)
 
