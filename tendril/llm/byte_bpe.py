@@ -25,11 +25,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,8 @@ SMALL = 4
 SENT, LONGEST = 1_000_000, 32
 #: Pieces that one task folds.
 FOLDED = 8192
-#: Characters of the longest word that is looked into for pieces to be sent.
-LONGEST_WORD = 1 << 10
+#: Bytes of the longest word that is looked into for pieces to be sent, and of texts whose words are counted at once.
+LONGEST_WORD, COUNTED = 1 << 10, 1 << 23
 
 
 def char(token: int) -> str:
@@ -87,6 +89,7 @@ class Ranks:
 
     def __init__(self, spark: SparkSession, path: str):
         ranks = read_ranks(path)
+        self.most = max(ranks.values())
         self.bytes = "".join(char(ranks[bytes([b])]) for b in range(256))
         pairs = {}
         for token, merged in ranks.items():
@@ -179,14 +182,24 @@ def count_pieces(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame
     pattern makes of a distinct word behind a space counts as often; so pieces that hold several spaces, or begin a text, are
     counted otherwise."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, size = b.column(0), pc.binary_length(b.column(0)).fill_null(0).to_numpy()
+            ends = np.unique(np.append(np.flatnonzero(np.diff(np.cumsum(size) // COUNTED)) + 1, len(texts)))
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                words = pc.split_pattern(texts.slice(lo, hi - lo), " ").flatten()
+                found = pc.value_counts(words.filter(pc.less_equal(pc.binary_length(words), LONGEST_WORD)))
+                yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+        pa.default_memory_pool().release_unused()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_pieces(f" {w}", pattern) for w in b.column("word").to_pylist()]
             own = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array([p for x in found for p in x], pa.string()), b.column("n").take(pa.array(own))], ["piece", "n"])
 
-    words = docs.select(F.explode(F.split(F.col(f"`{text}`"), " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = words.where((F.col("n") > 1) & (F.char_length("word") <= LONGEST_WORD))
+    rows = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null")
+    words = rows.mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     return words.mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
@@ -207,36 +220,44 @@ def vocabulary(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text")
 
 
 class _Known(dict):
-    """The ids of known pieces as bytes; pieces of a text that aren't known are numbered, and -1 - number stands for them."""
+    """The ids of known pieces as bytes, two for each where that is enough; the largest number stands for a piece that isn't
+    known, and the numbers of a text's distinct unknown pieces are kept in order."""
 
-    def __init__(self, sent: bytes):
+    def __init__(self, sent: bytes, kind: str):
         super().__init__()
+        self.kind, self.hole = np.dtype(kind), b"\xff" * np.dtype(kind).itemsize
         for b in pa.ipc.open_stream(sent):
             lists = b.column("ids")
-            raw, ends = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), (4 * lists.offsets.to_numpy()).tolist()
+            raw, ends = lists.values.to_numpy(zero_copy_only=False).astype(kind).tobytes(), (self.kind.itemsize * lists.offsets.to_numpy()).tolist()
             self.update(zip(b.column("piece").to_pylist(), map(raw.__getitem__, map(slice, ends[:-1], ends[1:])), strict=True))
         self.rare: dict[str, int] = {}
+        self.which: list[int] = []
 
     def __missing__(self, piece: str) -> bytes:
-        return (-1 - self.rare.setdefault(piece, len(self.rare))).to_bytes(4, "little", signed=True)
+        self.which.append(self.rare.setdefault(piece, len(self.rare)))
+        return self.hole
+
+    def encode(self, pieces: list[str]) -> tuple[bytes, list[str], list[int]]:
+        """(ids, distinct unknown pieces, which of them stands at each hole)."""
+        self.rare, self.which = {}, []
+        return b"".join(map(self.__getitem__, pieces)), list(self.rare), self.which
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, list[str]]:
-        self.rare = {}
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<i4"), list(self.rare)
 
+#: The map that this worker has read last, by the name of what was sent.
+_READ: dict[str, _Known] = {}
 
-def _spliced(ids: np.ndarray, rare: list[np.ndarray]) -> np.ndarray:
+
+def _spliced(ids: np.ndarray, rare: list[np.ndarray], which: np.ndarray) -> np.ndarray:
     if not rare:
-        return ids
+        return ids.astype(np.int32)
     sizes = np.array([len(x) for x in rare], np.int64)
-    hole = ids < 0
-    which = -1 - ids[hole]
+    hole = ids == np.iinfo(ids.dtype).max
     n = np.ones(len(ids), np.int64)
-    n[hole] = sizes[which]
+    n[hole] = own = sizes[which]
     ends = np.cumsum(n)
     out = np.empty(int(ends[-1]), np.int32)
     out[ends[~hole] - 1] = ids[~hole]
-    begin, own = np.cumsum(sizes) - sizes, sizes[which]
+    begin = np.cumsum(sizes) - sizes
     inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
     out[np.repeat(ends[hole] - own, own) + inside] = np.concatenate(rare)[np.repeat(begin[which], own) + inside]
     return out
@@ -246,29 +267,33 @@ def _struct(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def _encoded(docs: DataFrame, path: str, pattern: str, text: str, keep: bool = True) -> DataFrame:
-    """(row, ids, rare): the document as a struct, on demand without its text, its ids with -1 - number for rare pieces, and these pieces' ids."""
+def _encoded(docs: DataFrame, path: str, pattern: str, text: str, keep: bool = True) -> tuple[DataFrame, str]:
+    """((row, ids, rare, which), kind of number): the document as a struct, on demand without its text, its ids as bytes with
+    holes for rare pieces, the ids of its distinct rare pieces, and which of these stands at each hole."""
     ranks = Ranks(docs.sparkSession, path)
+    kind = "<u2" if ranks.most < 0xFFFF else "<u4"
     sink = pa.BufferOutputStream()
     table = vocabulary(docs, ranks, pattern, text).toArrow()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table, max_chunksize=4096)
-    sent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    sent, name = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     if not keep:
         packed = packed.withColumn("row", F.col("row").dropFields(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known(sent.value)
+        if name not in _READ:
+            _READ.clear()
+            _READ[name] = _Known(sent.value, kind)
+        known = _READ[name]
         for b in batches:
             for lo, hi, texts in _texts(b.column(1)):
-                found = [known.encode(_pieces(t, pattern)) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _lists([x for x, _ in found]), pa.array([x for _, x in found], pa.list_(pa.string()))], ["row", "ids", "rare"])
-        known.clear()  # this worker may serve other steps next
-
-    found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, rare array<string>")
+                ids, rare, which = zip(*(known.encode(_pieces(t, pattern)) for t in texts), strict=True)
+                columns = [b.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(which, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "ids", "rare", "which"])
+    found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids binary, rare array<string>, which array<int>")
     # Written, so that no task holds two Python workers, one of them with the map.
-    return materialize(ranks.beside(found).select("row", "ids", ranks.ids(F.col("rare")).alias("rare")), "encoded")
+    return materialize(ranks.beside(found).select("row", "ids", ranks.ids(F.col("rare")).alias("rare"), "which"), "encoded"), kind
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -282,20 +307,20 @@ def _parts(lists: pa.Array) -> Iterator[np.ndarray]:
     return (flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
 
 
-def _whole(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-    ids, rare = b.column("ids"), b.column("rare")
+def _whole(b: pa.RecordBatch, kind: str) -> Iterator[np.ndarray]:
+    rare = b.column("rare")
     inner, ends = list(_parts(rare.values)), rare.offsets.to_numpy().tolist()
-    for k, own in enumerate(_parts(ids)):
-        yield _spliced(own, inner[ends[k] : ends[k + 1]])
+    for k, (ids, which) in enumerate(zip(b.column("ids"), _parts(b.column("which")), strict=True)):
+        yield _spliced(np.frombuffer(ids.as_buffer(), kind), inner[ends[k] : ends[k + 1]], which)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """(row, ids): the document as a struct, and its token ids, array<int>."""
-    found = _encoded(docs, path, pattern, text)
+    found, kind = _encoded(docs, path, pattern, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row"), _lists(list(_whole(b)))], ["row", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), _lists(list(_whole(b, kind)))], ["row", "ids"])
 
     return found.mapInArrow(run, f"row {found.schema['row'].dataType.simpleString()}, ids array<int>")
 
@@ -324,13 +349,14 @@ def digest(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
     rows = docs.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(_names(path))
-    found = _encoded(rows, path, pattern, "text", keep=False).select(F.col("row.doc_id").alias("doc_id"), "ids", "rare")
+    found, kind = _encoded(rows, path, pattern, "text", keep=False)
+    found = found.select(F.col("row.doc_id").alias("doc_id"), "ids", "rare", "which")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value
         for b in batches:
             n, ids_sha, decoded_sha = [], [], []
-            for ids in _whole(b):
+            for ids in _whole(b, kind):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 decoded_sha.append(hashlib.sha256(b"".join(map(names.__getitem__, ids.tolist()))).hexdigest())
