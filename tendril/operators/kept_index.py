@@ -137,7 +137,7 @@ class KeptIndex:
         generations, n_chunks, mean = self.corpus()
         asked = materialize(query_terms(queries.select(F.col(query).alias("query_id"), F.col(text).alias("text")), tokens=self.tokens).withColumn("folder", _folder(F.col("term"))), "asked")
         folders = [r.folder for r in asked.select("folder").distinct().collect()]
-        if not n_chunks or not folders:
+        if not mean or not folders:  # no chunk has a term
             nothing = self.spark.createDataFrame([], "query_id string, notice_id string, chunk_id long, score double, rank int")
             return nothing, self.spark.createDataFrame([(0, 0)], "n_read long, n_postings long")
         df = self._read("terms", generations, folders).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
