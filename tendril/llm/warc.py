@@ -10,7 +10,8 @@ An audit compares the roots of two replicas, then the upper ranges of files whos
 those, and last the records of lower ranges that differ: only mismatching branches are descended, and what is read on
 the way down shrinks with them.
 
-Defined results: null urls and bodies are empty ones; pages without an id go into ``NULL_FILES`` files of negative numbers,
+Defined results: null urls and bodies are empty ones; an id that is no whole number is numbered by a hash of its text, and
+told as that number; pages without an id go into ``NULL_FILES`` files of negative numbers,
 by the hash of the record; equal records are stored once with their number of copies, and a differing number of copies is
 damage; an empty replica lacks every record, and records that only the replica has are told too.
 """
@@ -51,14 +52,20 @@ def _drawn(sha: Column, at: int) -> Column:
     return F.conv(F.substring(sha, at, 8), 16, 10).cast("long")
 
 
+def _number(page: Column) -> Column:
+    """The id as a whole number; of one that is none, the lower bits of a hash of its text."""
+    text = page.cast("string")
+    return F.coalesce(text.try_cast("long"), F.when(page.isNotNull(), F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))))
+
+
 def _file_no(page: Column, sha: Column, per_file: int) -> Column:
-    return F.coalesce(F.floor(page.cast("long") / per_file), -1 - _drawn(sha, 1) % NULL_FILES)
+    return F.coalesce(F.floor(_number(page) / per_file), -1 - _drawn(sha, 1) % NULL_FILES)
 
 
 def catalogue(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html", per_file: int = PER_FILE) -> DataFrame:
     """(page_id, file_no, slot, start_offset, length, copies, sha): where each distinct record is and what it hashes to."""
     whole = F.concat(record(F.col(page), F.col(url), F.col(body)), F.lit(_END))
-    made = pages.select(F.col(page).cast("long").alias("page_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha"))
+    made = pages.select(_number(F.col(page)).alias("page_id"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("sha"))
     made = made.groupBy("page_id", "length", "sha").agg(F.count("*").alias("copies"))
     made = made.withColumn("file_no", _file_no(F.col("page_id"), F.col("sha"), per_file)).withColumn("slot", F.coalesce(F.pmod("page_id", F.lit(per_file)), _drawn(F.col("sha"), 9) % per_file))
     order = Window.partitionBy("file_no").orderBy("page_id", "sha", "length")

@@ -437,6 +437,18 @@ def test_warc_records_that_are_hurt():
     assert list(warc.records(b"")) == []
 
 
+def test_warc_ids_of_any_type(spark):
+    """Text ids, whole numbers among them, other columns, and an empty side."""
+    rows = [("a", "u", "<p>1"), ("b", None, None), ("12", "v", "x"), ("1.5", "w", "y"), (None, "n", "z"), ("a", "u", "<p>2")]
+    pages = spark.createDataFrame([(*r, "s") for r in rows], "page_id string, url string, html string, sha string")
+    found = lambda left, right: sorted(r.damage for r in warc.report(left, right).collect())
+    assert found(pages, pages) == ["none"] * 6
+    hurt = pages.withColumn("html", F.when(F.col("page_id") == "b", "hurt").otherwise(F.col("html")))
+    assert found(pages, hurt) == ["changed"] + ["none"] * 5
+    assert found(pages.where("false"), pages) == ["extra"] * 6 and found(pages.where("false"), pages.where("false")) == []
+    assert warc.catalogue(pages).count() == 6 and warc.catalogue(pages).where("page_id = 12 and file_no = 0 and slot = 12").count() == 1
+
+
 # 7
 
 
