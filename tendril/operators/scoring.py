@@ -36,13 +36,15 @@ def soft_score(criteria: DataFrame, by: list[str]) -> DataFrame:
 
 
 def rubric_text(chunks: DataFrame, template: str | None = None, patterns: Rubric | None = None, places: int = 256) -> DataFrame:
-    """(notice_id, part_no, rubric, n_chunks): the rubric chunks of each notice in order, in parts of ``places`` places of the
-    notice, so that a large notice is no single value; a notice without any has the template as its only part."""
-    found = rubric(chunks, "content", patterns).where("is_eval_table").withColumn("part_no", F.floor(F.col("chunk_index") / places).cast("int"))
-    joined = concat_chunks(found, ["notice_id", "part_no"]).withColumnRenamed("notice_id", "_notice")
+    """(notice_id, rubric, n_chunks): the rubric chunks of each notice in order, or the template. Parts of ``places`` places
+    are put together by themselves, so that only a notice's parts meet in one task."""
+    found = rubric(chunks, "content", patterns).where("is_eval_table").withColumn("part_no", F.floor(F.col("chunk_index") / places))
+    parts = concat_chunks(found, ["notice_id", "part_no"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "body"))), lambda x: x["body"])
+    joined = parts.groupBy(F.col("notice_id").alias("_notice")).agg(F.array_join(texts, "\n\n").alias("body"), F.sum("n_chunks").alias("n_chunks"))
     notices = chunks.select("notice_id").distinct()
     rows = notices.join(joined, F.col("notice_id").eqNullSafe(F.col("_notice")), "left")
-    return rows.select("notice_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("body", F.lit(template)).alias("rubric"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+    return rows.select("notice_id", F.coalesce("body", F.lit(template)).alias("rubric"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 def third_filter(scored: DataFrame, candidates: int = CANDIDATES, returned: int = RETURNED) -> DataFrame:
