@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunk_values as V
+from ..functions.batches import slices
 from ..functions.text import strip
 
 MIN_LENGTH, WINDOW, OVERLAP = 50, 7500, 400
@@ -44,11 +45,17 @@ def html_tables(text: str, strict: bool = False) -> str:
 
 
 def md_tables(docs: DataFrame, text: str = "content", strict: bool = False) -> DataFrame:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else html_tables(t, strict))
+    """The texts with their pipe tables as HTML, a slice of a batch at a time."""
+    others = [c for c in docs.columns if c != text]
+    packed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"))
 
-    return docs.withColumn(text, run(F.col(text)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = (None if (t := x.as_py()) is None else html_tables(t, strict) for x in b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), b.column(1)], ["text", "row"])
+
+    found = packed.mapInArrow(run, packed.schema)
+    return found.select(*[F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _lines(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
