@@ -33,6 +33,8 @@ APPENDED = "붙임|별지|서식"
 
 #: An entry of a table of contents: a title, leaders or a gap, and a page.
 ENTRY = "^\\s*(?:#+\\s*)?(\\S.*?)(?:\\s*(?:[.·…‥⋯]{2,}|…)\\s*|\\t\\s*|\\s{2,})(\\d{1,4})\\s*$"
+#: The end of any entry.
+PAGE_END = "\\d\\s*$"
 #: Styles of numbering, in the order in which they are tried.
 NUMBERING = ("[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+[.)]?\\s", "[IVX]+\\.\\s", "제\\s*\\d+\\s*[편장]", "제\\s*\\d+\\s*절", "\\d+\\.\\d+\\.\\d+", "\\d+\\.\\d+", "\\d+\\.", "[가-하]\\.", "[A-Z]\\.", "\\d+\\)", "[가-하]\\)", "\\(\\d+\\)", "\\([가-하]\\)", "[①-⑳]", "[★※]", "[□■]", "[○●◦ㅇ]")
 #: A number of any style ahead of a title.

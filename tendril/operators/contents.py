@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunk_values as V
+from ..functions.storage import materialize
 from ..functions.text import strip
 
 FRONT, LEAST, GAP, LONGEST = 20_000, 3, 5, 200
@@ -35,6 +36,8 @@ def _style(title: Column) -> Column:
 def entries(docs: DataFrame, doc: str = "doc_id", text: str = "content", front: int = FRONT, least: int = LEAST, gap: int = GAP) -> DataFrame:
     """(doc, ord, line_no, exact_header, page): the table of contents of each text; none where fewer than ``least`` entries run on."""
     lines = docs.select(doc, F.posexplode(F.split(F.substring(text, 1, front), "\n", -1)).alias("line_no", "line"))
+    # What an entry ends in is seen at once; of long lines without it nothing more is tried.
+    lines = lines.where(F.col("line").rlike(V.PAGE_END))
     found = lines.select(doc, "line_no", F.regexp_extract("line", V.ENTRY, 1).alias("exact_header"), F.regexp_extract("line", V.ENTRY, 2).try_cast("int").alias("page"))
     found = found.where(F.col("page").isNotNull() & (F.length("exact_header") <= LONGEST) & ~F.col("exact_header").rlike(V.APPENDED))
     order = Window.partitionBy(doc).orderBy("line_no")
@@ -55,6 +58,8 @@ def find_headers(docs: DataFrame, doc: str = "doc_id", text: str = "content", fr
     listed = entries(docs, doc, text, front, least, gap)
     told = reduce(lambda rest, t: F.when(F.col("exact_header").rlike(t[1]), t[0]).otherwise(rest), reversed(V.TITLE_TOPICS), F.lit(None).cast("string"))
     listed = listed.select("*", key(F.col("exact_header")).alias("_key"), _style(F.col("exact_header")).alias("style"), told.alias("told"), F.max("line_no").over(Window.partitionBy(doc)).alias("_end"))
+    # Tables of contents are few words of the texts, and read twice below.
+    listed = materialize(listed, "listed")
     # Only short lines can be titles, so only they are dealt, and of each text without a table of contents none.
     lines = docs.select(doc, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).where((F.length("line") <= 2 * LONGEST) & ~F.col("line").rlike(V.LEADERS))
     lines = lines.select(doc, "at", key(F.col("line")).alias("_key")).where("_key != ''")
