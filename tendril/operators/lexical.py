@@ -29,7 +29,12 @@ class Index:
 
     @property
     def terms(self) -> DataFrame:
-        """(term, n): the chunks that hold each term."""
+        """(term, n): the chunks that hold each term. Where no chunk comes twice, which ids alone tell, each counts its own
+        terms, and no posting is dealt."""
+        if not self.stored:
+            ids = ["chunk_id", "notice_id", "l_topic"]
+            if self.words.groupBy(*ids).count().where("count > 1").isEmpty():
+                return self.words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
         return self.postings.groupBy("term").agg(F.count("*").alias("n"))
 
 
