@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from tendril.operators import tools
+from tendril.operators.tools import tool_rows
 from tendril.plans import registry
 
 
@@ -10,3 +12,11 @@ def test_partners_lie_together(spark):
     found = registry.QUERIES["partners_of_search"](spark, "/root/testdata/sf0.01")
     sizes = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.countDistinct("partner_id").alias("n")).collect()]
     assert max(sizes) <= 20  # of 100
+
+
+def test_the_tool_is_called_for_companies(spark, monkeypatch):
+    """Not for each of their searches."""
+    asked = []
+    monkeypatch.setattr(tools, "tool_rows", lambda searches, partners, **more: asked.append(searches.count()) or tool_rows(searches, partners, **more))
+    assert registry.QUERIES["partners_tool"](spark, "/root/testdata/sf0.01").count() > 0
+    assert asked[0] <= 25
