@@ -11,14 +11,15 @@ A worker gets one row and may fail: the row's state is then ``ERROR`` with the m
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
+from ..functions.batches import slices
 from ..functions.storage import materialize
 
 #: What a worker gives for a row: results, as many as it likes.
@@ -26,9 +27,9 @@ Worker = Callable[[dict], list[dict]]
 ERROR = "ERROR"
 
 
-def guarded(rows: DataFrame, worker: Worker, schema: str) -> DataFrame:
-    """(row, results, error): each row as a struct, the worker's results of that schema, and the message if it failed; a
-    worker that gives nothing has failed too."""
+def guarded(rows: DataFrame, worker: Worker, schema: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """(row, results, error): each row as a struct, of the columns in ``keep`` where it is given, the worker's results of
+    that schema, and the message if it failed; a worker that gives nothing has failed too."""
     kind: StructType = _parse_datatype_string(schema)
     names = kind.names
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
@@ -40,13 +41,20 @@ def guarded(rows: DataFrame, worker: Worker, schema: str) -> DataFrame:
             return None, f"{type(e).__name__}: {e}"
         return (found, None) if found else (None, "no results")
 
+    whole = packed.schema["row"].dataType
+    kept = whole if keep is None else StructType([f for f in whole.fields if f.name in keep])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
+            row = b.column(0)
+            if keep is not None:
+                columns = row.flatten()
+                row = pa.StructArray.from_arrays([columns[whole.names.index(c)] for c in kept.names], kept.names)
             told = [one(x) for x in b.column(0).to_pylist()]
             results = pa.array([None if r is None else json.dumps(r) for r, _ in told], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), results, pa.array([e for _, e in told], pa.string())], ["row", "results", "error"])
+            yield pa.RecordBatch.from_arrays([row, results, pa.array([e for _, e in told], pa.string())], ["row", "results", "error"])
 
-    found = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, results string, error string")
+    found = packed.mapInArrow(run, StructType([StructField("row", kept), StructField("results", StringType()), StructField("error", StringType())]))
     return found.select("row", F.from_json("results", f"array<{kind.simpleString()}>").alias("results"), "error")
 
 
@@ -72,7 +80,7 @@ class Step:
     def each(self, batch: DataFrame, number: int) -> None:
         if self._committed(number):
             return
-        found = materialize(guarded(batch, self.worker, self.schema), "worked")
+        found = materialize(guarded(batch, self.worker, self.schema, keep=[self.key]), "worked")
         key = F.col(f"row.`{self.key}`").alias(self.key)
         found.where("error is null").select(key, F.explode("results").alias("x")).select(self.key, "x.*").write.mode("overwrite").parquet(f"{self.path}/results/batch={number}")
         found.select(key, F.when(F.col("error").isNull(), self.state).otherwise(ERROR).alias("state"), "error").write.mode("overwrite").parquet(f"{self.path}/states/batch={number}")
