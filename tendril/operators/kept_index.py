@@ -2,7 +2,7 @@
 
 A folder holds three tables. ``blocks`` has the postings: one row is a run of at most BLOCK chunks that hold one term in one
 notice, with the greatest term frequency and the least length for each time that the term stands there among them; frequent terms are parted by how much a posting
-says, so that few blocks hold what counts most. ``terms`` has the number of chunks of each term,
+says, so that few blocks hold what counts most. Chunks are put into blocks where they stand, a run of them at a time, and blocks alone are dealt to folders. ``terms`` has the number of chunks of each term,
 ``corpus`` the number of chunks and their length. All rows belong to a generation: an append writes one, its
 ``corpus`` row last, and only what has such a row is read. So an append that fails leaves nothing to be seen, and
 statistics are sums over generations. ``blocks`` and ``terms`` lie in folders by a hash of the term, of which a search opens
@@ -13,7 +13,7 @@ two figures, which no posting in it exceeds, whatever the statistics have become
 many as hold n postings, are scored: the n-th best of these partial scores is a threshold. A block can bring a new chunk
 among the best only if its bound and the greatest bounds of the group's other terms reach the threshold; all others are
 skipped. A chunk that such blocks have brought is given up if its score and what skipped blocks might add are below the
-threshold, which has risen. Only skipped blocks whose range of ids holds a chunk that is left are read after all.
+threshold, which has risen. Only skipped blocks of its run whose range of ids holds a chunk that is left are scored after all.
 """
 
 from __future__ import annotations
@@ -29,11 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.batches import slices
 from ..functions.storage import materialize
 from .lexical import B, K1, query_terms, top
 
 #: Postings of a block, folders of terms, and steps of what a posting says.
 BLOCK, FOLDERS, TIERS = 32, 64, 24
+#: Words of the chunks whose postings are put into blocks together.
+RUN = 1 << 22
 #: Levels of bounds, up to the most that a term can add to a score.
 LEVELS = 64
 #: Scores are equal in so many digits; what may be rounded up to a threshold is kept.
@@ -52,37 +55,63 @@ def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
     return left.join(named, same, how).drop(*[f"_{c}" for c in on])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (folder, term, notice_id, tier, chunk_id, l_topic, dl, tf) that are sorted by the first five."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        same = np.ones(b.num_rows - 1, bool)
-        for c in ("term", "notice_id"):
-            x = b.column(c)
-            equal = pc.equal(x.slice(1), x.slice(0, len(x) - 1))
-            both = pc.and_(pc.is_null(x.slice(1)), pc.is_null(x.slice(0, len(x) - 1)))
-            same &= pc.fill_null(pc.or_kleene(equal, both), False).to_numpy(zero_copy_only=False)
-        # Long runs are also cut where the tier changes.
-        run = np.concatenate([[0], np.cumsum(~same)])
-        tier = b.column("tier").to_numpy()
-        same &= (tier[1:] == tier[:-1]) | (np.bincount(run)[run[1:]] <= BLOCK)
-        begin = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        size = np.diff(np.append(begin, b.num_rows))
-        parts = -(-size // BLOCK)
-        first = np.repeat(begin, parts) + BLOCK * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        ends = np.append(first, b.num_rows)
-        tf = b.column("tf").to_numpy()
-        thin = b.column("dl").to_numpy() / tf
-        by_id = pc.sort_indices(b.column("chunk_id")).to_numpy()
-        rank = np.empty(len(by_id), np.int64)
-        rank[by_id] = np.arange(len(by_id))
-        lists = lambda c: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column(c))
-        at = lambda c, places: b.column(c).take(pa.array(places))
-        yield pa.RecordBatch.from_arrays(
-            [at("folder", first), at("term", first), at("notice_id", first), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(thin, first)), at("chunk_id", by_id[np.minimum.reduceat(rank, first)]), at("chunk_id", by_id[np.maximum.reduceat(rank, first)]), lists("chunk_id"), lists("l_topic"), lists("dl"), lists("tf")],
-            ["folder", "term", "notice_id", "n", "tf_most", "thinnest", "first", "last", "chunk_ids", "topics", "dls", "tfs"],
-        )
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of chunks (chunk_id, notice_id, l_topic, dl, words, times); a worker holds the chunks of about RUN words at once,
+    and their postings. Each word counts ``times``; where that is null, it counts once and the row is a whole chunk."""
+    held, size = [], 0
+    for b in slices(batches, 1 << 24):
+        held.append(b)
+        size += len(b.column("words").flatten())
+        if size >= RUN:
+            yield from _blocks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            held, size = [], 0
+    if held:
+        yield from _blocks(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def _blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The blocks of a batch of chunks: by term and notice, from what says most, as far as their own mean length tells,
+    then by id; the least id names the run, outside which its whole chunks have no posting. A block without a term has the lengths of all whole chunks."""
+    times = pc.fill_null(b.column("times"), 1).to_numpy()
+    whole = b.column("times").null_count > 0
+    by_id = pc.sort_indices(b.column("chunk_id")).to_numpy()
+    rank = np.empty(len(by_id), np.int64)
+    rank[by_id] = np.arange(len(by_id))
+    code = b.column("words").flatten().dictionary_encode()
+    valid = code.is_valid()
+    chunk = rank[pc.list_parent_indices(b.column("words")).filter(valid).to_numpy()]
+    key = code.indices.filter(valid).to_numpy().astype(np.int64) * b.num_rows + chunk
+    key.sort()
+    changes = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    begin = changes(key)
+    term, chunk = np.divmod(key[begin], b.num_rows)
+    tf = (np.diff(np.append(begin, len(key))) * times[by_id][chunk]).astype(np.int32)
+    length = pc.fill_null(b.column("dl"), 0).to_numpy()
+    dl = length[by_id][chunk]
+    notice = b.column("notice_id").dictionary_encode("encode")
+    run = term * len(notice.dictionary) + notice.indices.to_numpy()[by_id][chunk]
+    tier = (TIERS * tf / (tf + K1 * (1 - B + B * dl / (length.mean() or 1.0)))).astype(np.int64)
+    order = np.argsort(run * (TIERS + 1) + TIERS - tier, kind="stable")
+    term, chunk, tf, dl, run, tier = term[order], chunk[order], tf[order], dl[order], run[order], tier[order]
+    # Long runs are also cut where the tier changes.
+    begin = changes(run)
+    long = np.repeat(np.diff(np.append(begin, len(run))), np.diff(np.append(begin, len(run)))) > BLOCK
+    begin = changes(run * (TIERS + 1) + np.where(long, tier, 0))
+    parts = -(-np.diff(np.append(begin, len(run))) // BLOCK)
+    first = np.repeat(begin, parts) + BLOCK * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    ends = np.append(first, len(run))
+    at = lambda c, places: b.column(c).take(pa.array(by_id[places]))
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+    found = pa.RecordBatch.from_arrays(
+        [code.dictionary.take(pa.array(term[first])), at("notice_id", chunk[first]), pa.array(np.diff(ends)), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(dl / tf, first)), at("chunk_id", np.minimum.reduceat(chunk, first)), at("chunk_id", np.maximum.reduceat(chunk, first)), lists(at("chunk_id", chunk)), lists(at("l_topic", chunk)), lists(pa.array(dl)), lists(pa.array(tf)), at("chunk_id", np.zeros(len(first), np.int64)) if whole else pa.nulls(len(first), b.column("chunk_id").type)],
+        ["term", "notice_id", "n", "tf_most", "thinnest", "first", "last", "chunk_ids", "topics", "dls", "tfs", "run"],
+    )
+    if len(run):
+        yield from slices(iter([found]), 1 << 23)
+    if whole:
+        none = [pa.nulls(1, f.type) for f in found.schema]
+        none[found.schema.get_field_index("dls")] = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("dl"))
+        yield pa.RecordBatch.from_arrays(none, found.schema.names)
 
 
 @dataclass
@@ -96,25 +125,27 @@ class KeptIndex:
     def append(self, chunks: DataFrame, chunk: str = "chunk_id", notice: str = "notice_id", text: str = "content", topic: str = "l_topic") -> None:
         """Add chunks whose ids the index does not have; the first append makes the index. A null text is a chunk without
         terms, and without a length."""
+        ids = ["chunk_id", "notice_id", "l_topic"]
         words = chunks.select(F.col(chunk).alias("chunk_id"), F.col(notice).alias("notice_id"), F.col(topic).alias("l_topic"), self.tokens(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
-        # One pass over the texts; a chunk without terms keeps a row for the statistics.
-        rows = words.select("chunk_id", "notice_id", "l_topic", "dl", F.explode_outer("words").alias("term"))
-        counted = materialize(rows.groupBy("chunk_id", "notice_id", "l_topic", "dl", "term").agg(F.count("*").cast("int").alias("tf")), "postings")
+        once = words.groupBy("chunk_id").count().where("count > 1").isEmpty()
+        if once:
+            # Where no chunk comes twice, which ids alone tell, each has its own terms, and no posting is dealt.
+            rows = words.withColumn("times", F.lit(None).cast("int"))
+        else:
+            counted = words.select(*ids, "dl", F.explode("words").alias("term")).where("term is not null").groupBy(*ids, "dl", "term").agg(F.count("*").cast("int").alias("times"))
+            rows = counted.select(*ids, "dl", F.array("term").alias("words"), "times")
         generation = uuid.uuid4().hex
-        postings = counted.where("term is not null").withColumn("folder", _folder(F.col("term")))
-        # How much a posting says, in steps; what it says exactly depends on statistics that change.
-        length = counted.agg(F.avg("dl")).first()[0] or 1.0
-        tier = F.floor(-TIERS * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / length))).cast("int")
-        postings = postings.withColumn("tier", tier)
-        kinds = {f.name: f.dataType.simpleString() for f in postings.schema}
-        schema = f"folder int, term string, notice_id {kinds['notice_id']}, n bigint, tf_most int, thinnest double, first {kinds['chunk_id']}, last {kinds['chunk_id']}, chunk_ids array<{kinds['chunk_id']}>, topics array<{kinds['l_topic']}>, dls array<int>, tfs array<int>"
-        dealt = postings.select("folder", "term", "notice_id", "tier", "chunk_id", "l_topic", "dl", "tf").repartitionByRange("folder", "term", "notice_id", "tier", "chunk_id").sortWithinPartitions("folder", "term", "notice_id", "tier", "chunk_id")
-        blocks = dealt.mapInArrow(_cut, schema).withColumn("block", F.monotonically_increasing_id())
-        blocks.withColumn("generation", F.lit(generation)).write.partitionBy("generation", "folder").mode("append").parquet(f"{self.path}/blocks")
-        terms = postings.groupBy("folder", "term").agg(F.count("*").alias("n"))
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+        schema = f"term string, notice_id {kinds['notice_id']}, n bigint, tf_most int, thinnest double, first {kinds['chunk_id']}, last {kinds['chunk_id']}, chunk_ids array<{kinds['chunk_id']}>, topics array<{kinds['l_topic']}>, dls array<int>, tfs array<int>, run {kinds['chunk_id']}"
+        blocks = rows.select(*ids, "dl", "words", "times").mapInArrow(_inverted, schema).withColumn("folder", _folder(F.col("term")))
+        # Blocks are dealt, not postings; a folder that has grown large is shared by several tasks.
+        dealt = blocks.hint("rebalance", "folder").sortWithinPartitions("folder").withColumn("block", F.monotonically_increasing_id())
+        dealt.write.partitionBy("folder").parquet(f"{self.path}/blocks/generation={generation}")
+        written = self.spark.read.schema("term string, n long, dls array<int>, folder int").parquet(f"{self.path}/blocks/generation={generation}")
+        terms = written.where("term is not null").groupBy("folder", "term").agg(F.sum("n").alias("n"))
         terms.withColumn("generation", F.lit(generation)).repartition("folder").write.partitionBy("generation", "folder").mode("append").parquet(f"{self.path}/terms")
-        # A chunk has one row for each of its terms; the statistics take one of them.
-        told = counted.groupBy("chunk_id", "notice_id", "l_topic").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n_chunks"), F.count("dl").alias("n_lengths"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("length"))
+        lengths = written.where((F.col("folder") == _folder(F.lit(None).cast("string"))) & F.col("term").isNull()).select(F.explode("dls").alias("dl")) if once else words.groupBy(*ids).agg(F.max("dl").alias("dl"))
+        told = lengths.agg(F.count("*").alias("n_chunks"), F.count("dl").alias("n_lengths"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("length"))
         told.withColumn("generation", F.lit(generation)).coalesce(1).write.mode("append").parquet(f"{self.path}/corpus")
 
     def corpus(self) -> tuple[list[str], int, float]:
@@ -146,20 +177,21 @@ class KeptIndex:
         weight = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(mean)))
         key = ["generation", "block"]
         group = ["query_id", "notice_id"] if by_notice else ["query_id"]
-        blocks = self._read("blocks", generations, folders)
-        bounds = blocks.select(*key, "term", "notice_id", "n", "tf_most", "thinnest", "first", "last").join(asked, "term")
+        # The folders are opened once; what follows reads the blocks of the queries' terms alone.
+        blocks = materialize(self._read("blocks", generations, folders).join(asked.select("term").distinct(), "term", "left_semi"), "blocks")
+        bounds = blocks.select(*key, "term", "notice_id", "n", "tf_most", "thinnest", "first", "last", "run").join(asked, "term")
         bounds = materialize(bounds.withColumn("bound", F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b) / F.col("tf_most") + k1 * b * F.col("thinnest") / F.lit(mean))), "bounds")
         step = F.col("idf") * (k1 + 1) / LEVELS
         bounds = bounds.withColumn("level", F.ceil(F.col("bound") / step).cast("int")).withColumn("bound", F.col("level") * step)
         levels = materialize(bounds.groupBy(*group, "term", "level").agg(F.sum("n").alias("n"), F.max("bound").alias("bound")), "levels")
 
         def postings(chosen: DataFrame) -> DataFrame:
-            """(query_id, notice_id, term, chunk_id, score) of the postings of chosen blocks."""
-            held = blocks.select(*key, "chunk_ids", "topics", "dls", "tfs").join(chosen.select("query_id", "notice_id", "term", "idf", *key), key)
-            rows = held.select("query_id", "notice_id", "term", "idf", F.explode(F.arrays_zip("chunk_ids", "topics", "dls", "tfs")).alias("p"))
+            """(query_id, notice_id, term, run, chunk_id, score) of the postings of chosen blocks."""
+            held = blocks.select(*key, "run", "chunk_ids", "topics", "dls", "tfs").join(chosen.select("query_id", "notice_id", "term", "idf", *key), key)
+            rows = held.select("query_id", "notice_id", "term", "idf", "run", F.explode(F.arrays_zip("chunk_ids", "topics", "dls", "tfs")).alias("p"))
             if topics is not None:
                 rows = rows.where(F.col("p.topics").isin(*topics))
-            return rows.select("query_id", "notice_id", "term", F.col("p.chunk_ids").alias("chunk_id"), (F.col("idf") * weight(F.col("p.tfs"), F.col("p.dls"))).alias("score"))
+            return rows.select("query_id", "notice_id", "term", "run", F.col("p.chunk_ids").alias("chunk_id"), (F.col("idf") * weight(F.col("p.tfs"), F.col("p.dls"))).alias("score"))
 
         def threshold(scored: DataFrame) -> DataFrame:
             """The ``limit``-th best score of each group that has as many chunks."""
@@ -184,11 +216,12 @@ class KeptIndex:
         skipped = materialize(_meet(bounds, chosen, [*group, "term", "level"], "left_anti"), "skipped")
         # What the skipped blocks of all terms might add to a chunk of a group.
         more = skipped.groupBy(*group, "term").agg(F.max("bound").alias("most")).groupBy(*group).agg(F.sum("most").alias("more"))
-        partial = summed(first)
+        partial = first.groupBy(*chunk).agg(F.sum("score").alias("score"), F.min("run").alias("own_run"))
         least = threshold(partial)
         hopes = _meet(partial, more, group, "left").withColumn("hope", F.col("score") + F.coalesce("more", F.lit(0.0)))
-        left = materialize(reaching(hopes, least, "hope").select(*chunk), "candidates")
-        again = materialize(_meet(skipped, left, ["query_id", "notice_id"], "left_semi", F.col("chunk_id").between(F.col("first"), F.col("last"))), "again")
+        left = materialize(reaching(hopes, least, "hope").select(*chunk, "own_run"), "candidates")
+        near = F.col("chunk_id").between(F.col("first"), F.col("last")) & (F.col("run").isNull() | (F.col("run") == F.col("own_run")))
+        again = materialize(_meet(skipped, left, ["query_id", "notice_id"], "left_semi", near), "again")
         whole = first.unionByName(postings(again))
         scored = summed(_meet(whole, left, chunk, "left_semi")).withColumn("score", F.round("score", DIGITS))
         read = essential.select("n").unionByName(again.select("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_read"))

@@ -1,11 +1,13 @@
 """The kept index against scoring everything."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendril.operators import lexical
+from tendril.operators import kept_index, lexical
 from tendril.operators.kept_index import KeptIndex
 
 TOPICS = ("a", "b")
@@ -88,3 +90,32 @@ def test_nothing(spark, tmp_path):
     index = KeptIndex(spark, f"{tmp_path}/i")
     index.append(frame(spark, [(1, "n", "a", None), (2, None, None, "")]))
     assert told(index.best(ask(spark, "w0", ""), 3)[0]) == []
+
+
+def test_blocks_are_dealt_and_not_postings(spark, tmp_path, monkeypatch):
+    """Chunks that come once are put into blocks where they stand, by runs of words, null words left out of the postings alone."""
+    monkeypatch.setattr(kept_index, "RUN", 50)
+    rows = texts(3, 300) + [(300, None, None, "w0 w0 w3")]
+    words = lambda c: F.transform(F.split(c, " "), lambda w: F.nullif(w, F.lit("w1")))
+    index = KeptIndex(spark, f"{tmp_path}/i", words)
+    dealt = []
+    counted = DataFrame.groupBy
+    monkeypatch.setattr(DataFrame, "groupBy", lambda self, *by: dealt.append(by) or counted(self, *by))
+    index.append(frame(spark, rows))
+    assert not any("chunk_id" in by and "term" in by for by in dealt)
+    split = [(i, n, t, text.split(" ")) for i, n, t, text in rows if text is not None]
+    held = spark.read.parquet(f"{tmp_path}/i/blocks").where("term is not null")
+    found = held.select("term", "notice_id", "n", F.explode(F.arrays_zip("chunk_ids", "topics", "dls", "tfs")).alias("p"))
+    expected = Counter((w, n, i, t, len(ws)) for i, n, t, ws in split for w in ws if w != "w1")
+    assert Counter((r.term, r.notice_id, r.p.chunk_ids, r.p.topics, r.p.dls, r.p.tfs) for r in found.collect()) == Counter((*k, v) for k, v in expected.items())
+    assert index.corpus()[1:] == (301, sum(len(ws) for *_, ws in split) / len(split))
+
+
+def test_chunks_that_come_twice(spark, tmp_path):
+    """Rows of one chunk count together, as in a search without an index."""
+    chunks = frame(spark, texts(4, 200) + texts(4, 200)[:50] + [(0, "n1", "a", "w2 w2")])
+    index = KeptIndex(spark, f"{tmp_path}/i")
+    index.append(chunks)
+    found = index.best(ask(spark, "w0 w2", "w30"), 10)[0]
+    lengths = chunks.groupBy("chunk_id", "notice_id", "l_topic").agg(F.max(F.size(index.tokens("content"))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    assert index.corpus()[1:] == tuple(lengths) and found.count() > 10
